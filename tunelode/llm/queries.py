@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import jaccard, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +56,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        failed_bits = 0 AS kept, failed_bits FROM b
 """
 
-QUERIES = {"op10_quality_ledger": op10_quality_ledger}
+
+def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count and near-duplicate component."""
+    return jaccard.near_components(_documents(spark, sf_dir))
+
+
+QUERIES = {"op9_parity_join": op9_parity_join, "op10_quality_ledger": op10_quality_ledger}
 ORACLES = {"op10_quality_ledger": _QUALITY_SQL}
