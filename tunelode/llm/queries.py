@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, quality
+from . import jaccard, mixing, packing, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +62,26 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(_documents(spark, sf_dir))
 
 
-QUERIES = {"op9_parity_join": op9_parity_join, "op10_quality_ledger": op10_quality_ledger}
+
+def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40 by bytes and its slot there."""
+    return sharding.shard(_documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op1_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_bin_slack_packing": op1_bin_slack_packing, "op2_minimax_shards": op2_minimax_shards, "op8_sainte_lague_mix": op8_sainte_lague_mix, "op9_parity_join": op9_parity_join, "op10_quality_ledger": op10_quality_ledger}
 ORACLES = {"op10_quality_ledger": _QUALITY_SQL}
