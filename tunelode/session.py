@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -46,3 +49,17 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tunelode/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors once an application, so that their Python finds it wherever it lies."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        path = f"{tempfile.mkdtemp(prefix='tunelode-')}/tunelode_package.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
+    return spark
