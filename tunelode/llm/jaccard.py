@@ -257,3 +257,23 @@ def _across(chains: DataFrame, found: DataFrame) -> DataFrame:
     right = member.select("key", F.col("v").alias("b"), F.col("c").alias("cb"))
     pairs = left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
     return pairs.join(chains.select("a", "b").distinct(), ["a", "b"], "left_anti")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each near-duplicate group: the one with the smallest id.
+
+    Rows that share an id are one document and leave one row.  Rows without an id leave one row a text, unless a row
+    with an id has that text.
+    """
+    found = keep(near_components(docs, id_col, text_col), "groups")
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "_first")
+    out = docs.join(first.select("_first"), F.col(id_col) == F.col("_first"), "left_semi")
+    repeated = first.where("n > 1")
+    if repeated.head(1):
+        again = F.col(id_col) == F.col("_first")
+        out = out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates([id_col]))
+    if found.where("doc_id IS NULL AND component_id IS NULL").head(1):
+        alone = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
+        named = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("_same")).distinct()
+        out = out.unionByName(alone.join(named, F.col(text_col) == F.col("_same"), "left_anti"))
+    return out

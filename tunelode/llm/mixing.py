@@ -15,7 +15,8 @@ MAX_SHARDS rows a source; no task holds more than a shard.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,3 +184,36 @@ def mix(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return rows.groupBy("_rank", "_shard").applyInArrow(_selector(block, seed, to_arrow_schema(out), ranges), out)
+
+
+def _slicer(kind: pa.Schema, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    word = re.compile(WORD)
+
+    def part(t: str, spans: list[dict]) -> str:
+        at = [m.span() for m in word.finditer(t)]
+        return "\n".join(t[at[s["from"]][0] : at[s["to"] - 1][1]] for s in spans)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                rows = batch.slice(i, 64)
+                texts, passes, ranges = (rows.column(c).to_pylist() for c in (text, "passes", "ranges"))
+                pick = [k for k, n in enumerate(passes) for _ in range(n)]
+                some = [k for k, r in enumerate(ranges) if r]
+                new = [texts[k] for k in pick] + [part(texts[k], ranges[k]) for k in some]
+                out = pa.Table.from_batches([rows]).take(pick + some).select(kind.names)
+                out = out.set_column(kind.names.index(text), text, pa.array(new, type=pa.string())).cast(kind)
+                yield from out.to_batches()
+
+    return run
+
+
+def apply_mix(docs: DataFrame, text_col: str = "text", **options: object) -> DataFrame:
+    """The mixed corpus: docs as often as the mix takes them whole, and rows cut to the words it takes once more.
+
+    Columns are those of docs; a document from which nothing is taken has no row.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    mixed = mix(docs, text_col=text_col, ranges=True, **options).where("taken > 0")
+    return mixed.mapInArrow(_slicer(to_arrow_schema(docs.schema), text_col), docs.schema)

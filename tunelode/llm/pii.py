@@ -256,14 +256,23 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the earlier start counts."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+def redacted(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
+    """The text with every span replaced by its kind in brackets; what overlaps an earlier span goes with it."""
+    out, at = [], 0
+    for start, end, kind, _ in spans:
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.concat(acc["out"], gap, mark).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    rest = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+def redact(docs: DataFrame, text_col: str = "text", train_windows: int = TRAIN_WINDOWS) -> DataFrame:
+    """docs with every span of text_col replaced by its kind, such as [EMAIL]; a null text stays null."""
+    tagger = trained(train_windows)
+
+    @pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        found = find_all([t if isinstance(t, str) else "" for t in texts], tagger)
+        return pd.Series([redacted(t, s) if isinstance(t, str) else None for t, s in zip(texts, found, strict=True)], dtype=object)
+
+    return docs.withColumn(text_col, run.asNondeterministic()(F.col(text_col)))

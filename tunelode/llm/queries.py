@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, sharding
+from ..session import ship
+from . import jaccard, mixing, packing, pii, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op10_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,6 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_components(_documents(spark, sf_dir))
 
 
-
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
@@ -83,5 +83,20 @@ def op1_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bin_slack_packing": op1_bin_slack_packing, "op2_minimax_shards": op2_minimax_shards, "op8_sainte_lague_mix": op8_sainte_lague_mix, "op9_parity_join": op9_parity_join, "op10_quality_ledger": op10_quality_ledger}
+def op7_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts of the fixed patterns, their digest, and all spans."""
+    found = pii.find(_documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
+
+
+QUERIES = {
+    "op1_bin_slack_packing": op1_bin_slack_packing,
+    "op2_minimax_shards": op2_minimax_shards,
+    "op7_bilstm_crf_pii": op7_bilstm_crf_pii,
+    "op8_sainte_lague_mix": op8_sainte_lague_mix,
+    "op9_parity_join": op9_parity_join,
+    "op10_quality_ledger": op10_quality_ledger,
+}
 ORACLES = {"op10_quality_ledger": _QUALITY_SQL}
