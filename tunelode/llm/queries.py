@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import jaccard, mixing, packing, pii, quality, sharding
+from . import ivfpq, jaccard, mixing, packing, pii, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,11 @@ def op1_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every 50th id."""
+    return ivfpq.search(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 50 = 0")
+
+
 def op7_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's personal data: counts of the fixed patterns, their digest, and all spans."""
     found = pii.find(_documents(spark, sf_dir).select("doc_id", "text"))
@@ -94,6 +99,7 @@ def op7_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bin_slack_packing": op1_bin_slack_packing,
     "op2_minimax_shards": op2_minimax_shards,
+    "op6_ivfpq_search": op6_ivfpq_search,
     "op7_bilstm_crf_pii": op7_bilstm_crf_pii,
     "op8_sainte_lague_mix": op8_sainte_lague_mix,
     "op9_parity_join": op9_parity_join,
