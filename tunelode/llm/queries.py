@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ivfpq, jaccard, mixing, packing, pii, quality, sharding
+from . import ivfpq, jaccard, langid, licenses, mixing, packing, pii, quality, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,23 @@ def op1_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _held_out() -> Column:
+    """Rows whose labels and languages are never learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+def op3_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence sentences and licences."""
+    return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of the documents."""
+    docs = _documents(spark, sf_dir)
+    model = langid.fit(docs.where(~_held_out()))
+    return langid.predict(docs, model, keep=(_held_out().alias("held_out"),))
+
+
 def op6_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every 50th id."""
     return ivfpq.search(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id % 50 = 0")
@@ -99,10 +116,12 @@ def op7_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bin_slack_packing": op1_bin_slack_packing,
     "op2_minimax_shards": op2_minimax_shards,
+    "op3_license_sentences": op3_license_sentences,
+    "op4_compression_language": op4_compression_language,
     "op6_ivfpq_search": op6_ivfpq_search,
     "op7_bilstm_crf_pii": op7_bilstm_crf_pii,
     "op8_sainte_lague_mix": op8_sainte_lague_mix,
     "op9_parity_join": op9_parity_join,
     "op10_quality_ledger": op10_quality_ledger,
 }
-ORACLES = {"op10_quality_ledger": _QUALITY_SQL}
+ORACLES = {"op3_license_sentences": licenses.oracle(), "op10_quality_ledger": _QUALITY_SQL}
