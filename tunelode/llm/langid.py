@@ -80,8 +80,8 @@ def decide(text: str | None, model: dict[str, bytes], min_margin: float) -> tupl
     return list(model)[best], float(score), not len(rest) or bool(rest.min() - n[best] >= min_margin * rest.min())
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01, keep: tuple[Column, ...] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score, accepted) of every row, and the columns in keep.
+def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01, also: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, accepted) of every row, and the columns in also.
 
     lang_pred is the nearest language even where the margin is too narrow; accepted is false then.  A null, empty or
     letterless text is `und`, score 0, not accepted; so is every text if the model has no language.  Repeated rows get
@@ -95,6 +95,6 @@ def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", te
                 lang, score, ok = zip(*(decide(t, model, min_margin) for t in part.column(0).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang), pa.array(score), pa.array(ok)], names=[*part.schema.names[1:], "lang_pred", "score", "accepted"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("doc_id"), *keep)
+    rows = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("doc_id"), *also)
     out = rows.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "accepted": F.lit(True)}).schema
     return rows.mapInArrow(run, out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ivfpq, jaccard, langid, licenses, mixing, packing, pii, quality, sharding
+from . import ivfpq, jaccard, langid, licenses, mixing, packing, pii, quality, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,15 @@ def op4_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from three quarters of the documents."""
     docs = _documents(spark, sf_dir)
     model = langid.fit(docs.where(~_held_out()))
-    return langid.predict(docs, model, keep=(_held_out().alias("held_out"),))
+    return langid.predict(docs, model, also=(_held_out().alias("held_out"),))
+
+
+def op5_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from three quarters of the labelled documents."""
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs.where(~_held_out()), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model, also=(_held_out().alias("held_out"),))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
 def op6_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +126,7 @@ QUERIES = {
     "op2_minimax_shards": op2_minimax_shards,
     "op3_license_sentences": op3_license_sentences,
     "op4_compression_language": op4_compression_language,
+    "op5_boosted_toxicity": op5_boosted_toxicity,
     "op6_ivfpq_search": op6_ivfpq_search,
     "op7_bilstm_crf_pii": op7_bilstm_crf_pii,
     "op8_sainte_lague_mix": op8_sainte_lague_mix,
