@@ -23,13 +23,19 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from . import entities, library, media  # noqa: F401 - each registers its queries
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _queries
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _oracles
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _queries["tracks_in_vibe_range"](spark, sf_dir)
+    return queries()["tracks_in_vibe_range"](spark, sf_dir)
