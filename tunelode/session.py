@@ -10,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch between Spark and its Python workers, where the session has Spark's default.
+BATCH_ROWS = 512
+
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -52,7 +55,13 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once an application, so that their Python finds it wherever it lies."""
+    """Send this package to the executors once an application, so that their Python finds it wherever it lies.
+
+    Texts may be long, so Arrow batches get BATCH_ROWS rows unless the session says otherwise.
+    """
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
