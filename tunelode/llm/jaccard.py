@@ -48,7 +48,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_word_hash) > 400_000:
+    if len(_word_hash) > 200_000:
         _word_hash.clear()
     try:
         got = list(map(_word_hash.__getitem__, words))
@@ -144,16 +144,17 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d1, d2 = (int.from_bytes(d[i : i + 8], "big", signed=True) for i in (0, 8))
             new = len(s) > 0 and (d1, d2) not in met and doc_id is not None
             if new:
-                if len(met) > 200_000:
+                if len(met) > 100_000:
                     met.clear()
                 met.add((d1, d2))
             rows.append((doc_id, len(s), d1, d2, segment_keys(s) if new else None, dense_sketch(s) if new else None))
             size += len(s)
-            if size > 500_000:
+            if size > 200_000:
                 yield _to_batch(rows)
                 rows, size = [], 0
         if rows:
             yield _to_batch(rows)
+    _word_hash.clear()  # Python workers outlive their tasks
 
 
 def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -194,6 +195,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, texts = (batch.column(c).slice(i, 64) for c in (0, 1))
             sets = [shingle_set(t).view(np.int64) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sets, type=kind)], names=["node", "s"])
+    _word_hash.clear()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tag: str) -> DataFrame:

@@ -38,7 +38,7 @@ class WordTokenizer:
     """
 
     #: Chunks and words kept, at most, of each.
-    KEPT = 500_000
+    KEPT = 200_000
     _by_path: dict[str, WordTokenizer] = {}
 
     def __init__(self, path: str) -> None:
@@ -84,11 +84,14 @@ class WordTokenizer:
         for c, t, p, o in zip(new, texts, parts, odd, strict=True):
             self.chunks[c] = self._plain(t) if o else b"".join([self.words[w] for w in p])
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.words.clear()
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
         if len(self.chunks) > self.KEPT or len(self.words) > self.KEPT:
-            self.chunks.clear()
-            self.words.clear()
+            self.forget()
         cut = [encoded(t).split() for t in texts]
         if new := set().union(*cut).difference(self.chunks):
             self._learn(list(new))
@@ -121,6 +124,7 @@ def _cutter(path: str, capacity: int, end_id: int, with_ids: bool) -> Callable[[
                         seen[n] += 1
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        tok.forget()  # Python workers outlive their tasks
 
     return run
 

@@ -60,7 +60,7 @@ def _core(word: str) -> str:
 class Featurizer:
     """FEATURES of texts, each distinct word being looked at once."""
 
-    KEPT = 400_000
+    KEPT = 200_000
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon = lexicon
