@@ -54,6 +54,14 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *kept: DataFrame) -> None:
+    """Remove tables that keep() wrote, once nothing reads them any more."""
+    for df in kept:
+        for f in df.inputFiles()[:1]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once an application, so that their Python finds it wherever it lies.
 
