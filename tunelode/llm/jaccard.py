@@ -4,22 +4,22 @@ A sketch cuts the hash space into m segments and flips one bit for every shingle
 one of two sets holds changes one bit of one segment, so the number of differing bits, and of differing segments,
 is at most the sets' symmetric difference.  Two uses:
 
-* Candidates.  Jaccard >= 0.8 leaves at most (|A| + |B|) / 9 differing shingles.  Segments stand in one global
-  order, those with most shingles first; each set emits its first D + 1 of them, D being that bound for its largest
+* Candidates.  Jaccard >= 0.8 leaves at most (|A| + |B|) / 9 differing shingles.  Segments with their contents stand
+  in one global order, those with most shingles first and common contents last; each set emits its first D + 1 of them, D being that bound for its largest
   possible partner.  Fewer than D + 1 segments differ, so the first equal one is emitted by both: no pair is lost.
   m follows the size band (a power of two) of the larger set, and a set whose partners may lie in the next band also
   emits there.  A segment is so wide (2^64 / m bits) that it is held as the XOR of its bits' hashes.
 * Filter.  A dense sketch of 2^k bits, folded to the smaller of two lengths, drops candidates whose Hamming distance
   exceeds the bound.  What is left is verified on the shingle sets.
 
-Links are only needed to join documents that are not joined yet.  Round 1 verifies, for each segment, neighbours in
-document order (a chain, not all pairs).  Round 2 takes the segments that still hold several components and verifies
-all their pairs across components, so the components are exact whatever round 1 found.
+Links are only needed to join documents that are not joined yet.  The first rounds verify, for each segment, neighbours
+in document order (a chain, not all pairs).  The last takes the segments that still hold several components and
+verifies all their pairs across components, so the components are exact whatever the first found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import keep
+from ..session import discard, keep
 from .words import encoded
 
 #: Documents whose ids are sent to every executor at once, at most; above it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Of the sample that tells common segment contents.
+SAMPLE_DOCS, COMMON_IN, MOST_COMMON = 3_000, 6, 100_000
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -78,24 +80,32 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
         return np.unique(_mix(h))
 
 
-def _band_keys(s: np.ndarray, band: int, need: int) -> np.ndarray:
-    """Keys of the first `need` segments of a set, in the order of all segments of this band."""
+def _band_keys(s: np.ndarray, band: int, need: int | None, common: np.ndarray) -> np.ndarray:
+    """Keys of the first `need` segments of a set (of all that have shingles, if None), in one order of all segments
+    with their contents: those with many shingles first and `common` ones, by their sorted keys, last."""
     m = max(16, -(-7 * (1 << band) // 10))
     seg = ((s >> _U(32)) * _U(m)) >> _U(32)  # rises with s, which is sorted
     start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
     fp = np.bitwise_xor.reduceat(_mix(s), start)
     count = np.diff(np.r_[start, len(s)])
     at = seg[start]
+    salt = _U(m) * _U(1 << 32)
+    keys = _mix(fp ^ _mix(at + salt))
+    if need is None:
+        return keys
     if len(start) > need:
-        first = np.lexsort((at, fp, -count))[:need]
-        at, fp = at[first], fp[first]
-    elif len(start) < need:  # segments without a shingle come last
+        usual = np.isin(keys, common, assume_unique=True) if len(common) else np.zeros(len(keys), dtype=bool)
+        return keys[np.lexsort((keys, -count, usual))[:need]]
+    if len(start) < need:  # segments without a shingle come last
         empty = np.setdiff1d(np.arange(m, dtype=_U), at)[: need - len(start)]
-        at, fp = np.r_[at, empty], np.r_[fp, np.zeros(len(empty), dtype=_U)]
-    return _mix(fp ^ _mix(at + _U(m) * _U(1 << 32)))
+        keys = np.r_[keys, _mix(_mix(empty + salt))]
+    return keys
 
 
-def segment_keys(s: np.ndarray) -> np.ndarray:
+_NONE = np.empty(0, dtype=_U)
+
+
+def segment_keys(s: np.ndarray, common: np.ndarray = _NONE, whole: bool = False) -> np.ndarray:
     """All keys that a set emits, for its own band and, where partners reach it, the next."""
     n = len(s)
     if not n:
@@ -103,9 +113,9 @@ def segment_keys(s: np.ndarray) -> np.ndarray:
     band, most = n.bit_length() - 1, n * 5 // 4
     top = 1 << (band + 1)
     with np.errstate(over="ignore"):
-        keys = [_band_keys(s, band, (n + min(most, top - 1)) // 9 + 1)]
+        keys = [_band_keys(s, band, None if whole else (n + min(most, top - 1)) // 9 + 1, common)]
         if most >= top:
-            keys.append(_band_keys(s, band + 1, (n + most) // 9 + 1))
+            keys.append(_band_keys(s, band + 1, None if whole else (n + most) // 9 + 1, common))
     return np.concatenate(keys).view(np.int64)
 
 
@@ -132,29 +142,61 @@ _ROW = pa.schema([
 ])
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a document; a set that this task has met before carries no keys again."""
-    met: set[tuple[int, int]] = set()
+def _sketched(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row a document; a set that the task has met before carries no keys again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
+        for batch in batches:
+            rows: list[tuple] = []
+            size = 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingle_set(text)
+                d1, d2 = _digest(s)
+                new = len(s) > 0 and (d1, d2) not in met and doc_id is not None
+                if new:
+                    if len(met) > 100_000:
+                        met.clear()
+                    met.add((d1, d2))
+                rows.append((doc_id, len(s), d1, d2, segment_keys(s, common) if new else None, dense_sketch(s) if new else None))
+                size += len(s)
+                if size > 200_000:
+                    yield _to_batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _to_batch(rows)
+        _word_hash.clear()  # Python workers outlive their tasks
+
+    return run
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple] = []
-        size = 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text in batch.column(0).to_pylist():
             s = shingle_set(text)
-            d = xxhash.xxh3_128_digest(s.tobytes())
-            d1, d2 = (int.from_bytes(d[i : i + 8], "big", signed=True) for i in (0, 8))
-            new = len(s) > 0 and (d1, d2) not in met and doc_id is not None
-            if new:
-                if len(met) > 100_000:
-                    met.clear()
-                met.add((d1, d2))
-            rows.append((doc_id, len(s), d1, d2, segment_keys(s) if new else None, dense_sketch(s) if new else None))
-            size += len(s)
-            if size > 200_000:
-                yield _to_batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield _to_batch(rows)
-    _word_hash.clear()  # Python workers outlive their tasks
+            if len(s):
+                keys = segment_keys(s, whole=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), _digest(s)[0]))], names=["key", "d"])
+    _word_hash.clear()
+
+
+def common_keys(docs: DataFrame) -> np.ndarray:
+    """Segment contents that stand in COMMON_IN or more of some SAMPLE_DOCS different documents, at most MOST_COMMON.
+
+    They only decide the order in which segments are emitted: passages that many documents share come last, which
+    keeps unrelated documents apart.  Whatever is in this list, no link is lost.
+    """
+    n = docs.count()
+    h = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
+    drawn = docs.where(h < 1_000_000 * min(1.0, SAMPLE_DOCS / max(n, 1))).select("text")
+    counts = drawn.mapInArrow(_sample_keys, "key long, d long").groupBy("key").agg(F.count_distinct("d").alias("n"))
+    found = counts.where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()
+    return np.sort(found.column("key").to_numpy().view(_U))
 
 
 def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -198,7 +240,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _word_hash.clear()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tag: str, done: list[DataFrame]) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold."""
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
     near = keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(_near, "a long, b long"), f"{tag}-near")
@@ -209,7 +251,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tag: str) ->
     one = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", F.size(F.array_intersect("sa", "sb")).alias("i"))
-    return keep(both.where("100 * i >= 80 * (size(sa) + size(sb) - i)").select("a", "b").distinct(), f"{tag}-links")
+    links = keep(both.where("100 * i >= 80 * (size(sa) + size(sb) - i)").select("a", "b").distinct(), f"{tag}-links")
+    done += [near, ids, links]
+    return links
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,47 +262,67 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents link when 100 * |A and B| >= 80 * |A or B| over their distinct 5-word shingles, words lower-cased
     in A-Z.  A null or empty text has no shingles and its own id as component; fewer than five words are one
     shingle.  Rows with a null id get the component of equal texts that have ids, else null.  Repeated rows each
-    get a row; equal sets are one node, so copies are never paired.  An empty table gives no rows.
+    get a row; of equal sets one a task is compared, so copies are never paired.  An empty table gives no rows.
+
+    A node is such a document.  Nodes of equal sets are linked to the least one.  Then, first, each node is verified
+    against the earlier one with which it shares most neighbourhoods; then all other neighbours of different
+    components; then all pairs across components under keys that still hold several.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = keep(
-        docs.mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary"),
-        "sketched",
-    )
-    # The least id of each set among all rows; the keys and sketch from any row that has them.
-    least = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    sketched = rows.where("keys IS NOT NULL").groupBy("d1", "d2").agg(
-        F.min(F.struct("doc_id", "n_shingles", "keys", "sketch")).alias("x")
-    )
-    nodes = keep(least.join(sketched, ["d1", "d2"]).select("d1", "d2", "node", "x.n_shingles", "x.keys", "x.sketch"), "nodes")
-    keyed = nodes.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    done: list[DataFrame] = []
+    made = docs.mapInArrow(_sketched(common_keys(docs)), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary")
+    full = keep(made, "sketched")
+    rows = full.select("doc_id", "n_shingles", "d1", "d2")
+    keyed_rows = full.where("keys IS NOT NULL")
+    nodes = keyed_rows.select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
+    keyed = keyed_rows.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")).repartition("key").sortWithinPartitions("key", "node")
     chains = keep(keyed.mapInArrow(_chains, "key long, a long, b long"), "chains")
-    links = _verified(chains.select("a", "b").distinct(), nodes, docs, "chain")
+    least = keep(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("first")), "least")
+    links = keyed_rows.select("doc_id", "d1", "d2").join(least, ["d1", "d2"]).where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    links = keep(links.distinct(), "copies")
+    done += [full, chains, least, links]
+    pairs = keep(chains.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     found = keep(connected_components(links), "components")
-    more = _verified(_across(chains, found), nodes, docs, "across")
-    if more.head(1):
-        found = keep(connected_components(links.union(more)), "components")
-    final = nodes.select("d1", "d2", "node").join(found, "node", "left").select(
-        "d1", "d2", F.coalesce("component", "node").alias("component")
-    )
-    return rows.select("doc_id", "n_shingles", "d1", "d2").join(final, ["d1", "d2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
-    )
-
-
-def _across(chains: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of different components under one key, but for those that were neighbours there."""
+    best = _apart(pairs, found).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+    done += [pairs, found]
+    for tag in ("best", "chain", "across"):
+        if tag == "best":
+            left = best
+        elif tag == "chain":
+            left = _apart(pairs, found).select("a", "b")
+        else:
+            left = _across(chains, pairs, found, done)
+        new = _verified(left, nodes, docs, tag, done)
+        if new.head(1):
+            links = links.union(new)
+            found = keep(connected_components(links), "components")
+            done.append(found)
+    final = least.join(found, F.col("first") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "first").alias("component"))
+    out = rows.join(final, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = keep(out, "near-components")
+    discard(spark, *done)
+    return out
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends aren't in one component yet, with their components ca and cb."""
     comp = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    tagged = chains.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select(
-        "key", "a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")
-    )
-    mixed = tagged.groupBy("key").agg(F.count("*").alias("n"), F.max(F.expr("ca <> cb")).alias("mixed")).where("mixed AND n > 1")
-    inside = keep(tagged.join(mixed.select("key"), "key", "left_semi"), "mixed")
-    member = inside.select("key", F.col("a").alias("v"), F.col("ca").alias("c")).union(inside.select("key", "b", "cb")).distinct()
+    tagged = pairs.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+    return tagged.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+
+
+def _across(chains: DataFrame, pairs: DataFrame, found: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """Pairs of different components under one key, but for those that were neighbours there."""
+    mixed = _apart(chains, found).select("key").distinct()
+    inside = keep(chains.join(mixed, "key", "left_semi"), "mixed")
+    done.append(inside)
+    member = inside.select("key", F.col("a").alias("v")).union(inside.select("key", "b")).distinct()
+    member = member.join(found.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
     left = member.select("key", F.col("v").alias("a"), F.col("c").alias("ca"))
     right = member.select("key", F.col("v").alias("b"), F.col("c").alias("cb"))
-    pairs = left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
-    return pairs.join(chains.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    both = left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
+    return both.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
