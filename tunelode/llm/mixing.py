@@ -136,20 +136,23 @@ def _selector(block: int, seed: int, out: pa.Schema, ranges: bool) -> Callable[[
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, block: int = 32,
-    shard_rows: int = 256, seed: int = 17, ranges: bool = False,
+    shard_rows: int = 256, seed: int = 17, ranges: bool = False, keep_text: bool = True,
 ) -> DataFrame:
     """docs with the words that the mix takes of each: size, source_size, target and taken are added.
 
     ranges adds passes (how often the whole text comes) and ranges, the word ranges [from, to) that come once more.
     Sources stand by code point, null last, and weigh `weights` in turn.  A null or empty text has size 0 and
     nothing taken; a null id is dealt like an id; repeated rows each have their own words; an empty table gives no
-    rows; other columns pass through, but for columns named like an added one, which is an error.
+    rows; other columns pass through, but for columns named like an added one, which is an error.  Without keep_text
+    the texts are measured once and left behind, so that only ids and sizes are shuffled.
     """
     spark = docs.sparkSession
     added = ["size", "source_size", "target", "taken"] + ["passes", "ranges"] * ranges
     if clash := {*added} & {*docs.columns}:
         raise ValueError(f"columns exist: {sorted(clash)}")
-    sized = docs.withColumn("_size", word_count(text_col))
+    sized = docs.withColumns({"_size": word_count(text_col), "_tie": F.coalesce(F.xxhash64(text_col), F.lit(0))})
+    if not keep_text:
+        sized = keep(sized.drop(text_col), "sizes")
     per = sized.groupBy(F.col(source_col).alias("s")).agg(F.sum("_size").alias("n"), F.count("*").alias("rows"))
     found = per.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -164,8 +167,8 @@ def mix(
     )
     h = F.xxhash64(F.col(id_col), F.lit(seed))
     dealt = sized.join(F.broadcast(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_s"))).withColumns({
-        "_shard": F.pmod(h, F.col("_shards")), "_order": F.xxhash64(h, F.lit(1)), "_tie": F.coalesce(F.xxhash64(text_col), F.lit(0)),
-    })
+        "_shard": F.pmod(h, F.col("_shards")), "_order": F.xxhash64(h, F.lit(1)),
+    })
     order = Window.partitionBy("_rank").orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("n").over(order)
     cut = lambda x: F.round(x * F.col("_all") / F.col("source_size")).cast("long")
@@ -177,7 +180,7 @@ def mix(
     )
     rows = dealt.join(shard_quota, (F.col("_rank") == F.col("_r")) & (F.col("_shard") == F.col("_c")), "left")
     rows = rows.withColumn("_quota", F.coalesce("_quota", F.lit(0))).withColumn("size", F.col("_size")).drop("_s", "_r", "_c")
-    out = T.StructType(docs.schema.fields + [T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("taken", T.LongType())])
+    out = T.StructType([f for f in docs.schema.fields if keep_text or f.name != text_col] + [T.StructField("size", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("taken", T.LongType())])
     if ranges:
         span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
         out = T.StructType([*out.fields, T.StructField("passes", T.IntegerType()), T.StructField("ranges", T.ArrayType(span))])

@@ -66,7 +66,7 @@ def op9_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
