@@ -5,8 +5,8 @@ one of two sets holds changes one bit of one segment, so the number of differing
 is at most the sets' symmetric difference.  Two uses:
 
 * Candidates.  Jaccard >= 0.8 leaves at most (|A| + |B|) / 9 differing shingles.  Segments with their contents stand
-  in one global order, those with most shingles first and common contents last; each set emits its first D + 1 of them, D being that bound for its largest
-  possible partner.  Fewer than D + 1 segments differ, so the first equal one is emitted by both: no pair is lost.
+  in one global order, those with most shingles first and those of nothing but common shingles last; each set emits
+  its first D + 1 of them, D being that bound for its largest possible partner.  Fewer than D + 1 segments differ, so the first equal one is emitted by both: no pair is lost.
   m follows the size band (a power of two) of the larger set, and a set whose partners may lie in the next band also
   emits there.  A segment is so wide (2^64 / m bits) that it is held as the XOR of its bits' hashes.
 * Filter.  A dense sketch of 2^k bits, folded to the smaller of two lengths, drops candidates whose Hamming distance
@@ -34,8 +34,8 @@ from .words import encoded
 
 #: Documents whose ids are sent to every executor at once, at most; above it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Of the sample that tells common segment contents.
-SAMPLE_DOCS, COMMON_IN, MOST_COMMON = 3_000, 6, 100_000
+#: Of the sample that tells common shingles.
+SAMPLE_DOCS, COMMON_IN, MOST_COMMON = 6_000, 4, 200_000
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -80,10 +80,16 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
         return np.unique(_mix(h))
 
 
-def _band_keys(s: np.ndarray, band: int, need: int | None, common: np.ndarray) -> np.ndarray:
-    """Keys of the first `need` segments of a set (of all that have shingles, if None), in one order of all segments
-    with their contents: those with many shingles first and `common` ones, by their sorted keys, last."""
-    m = max(16, -(-7 * (1 << band) // 10))
+def _among(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    if not len(common):
+        return np.zeros(len(s), dtype=bool)
+    return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+
+
+def _band_keys(s: np.ndarray, band: int, need: int, common: np.ndarray) -> np.ndarray:
+    """Keys of the first `need` segments of a set, in one order of all segments with their contents: those with many
+    shingles first, those of nothing but `common` shingles (sorted) after them, empty ones last."""
+    m = max(16, 3 << band)
     seg = ((s >> _U(32)) * _U(m)) >> _U(32)  # rises with s, which is sorted
     start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
     fp = np.bitwise_xor.reduceat(_mix(s), start)
@@ -91,10 +97,8 @@ def _band_keys(s: np.ndarray, band: int, need: int | None, common: np.ndarray) -
     at = seg[start]
     salt = _U(m) * _U(1 << 32)
     keys = _mix(fp ^ _mix(at + salt))
-    if need is None:
-        return keys
     if len(start) > need:
-        usual = np.isin(keys, common, assume_unique=True) if len(common) else np.zeros(len(keys), dtype=bool)
+        usual = np.logical_and.reduceat(_among(s, common), start)
         return keys[np.lexsort((keys, -count, usual))[:need]]
     if len(start) < need:  # segments without a shingle come last
         empty = np.setdiff1d(np.arange(m, dtype=_U), at)[: need - len(start)]
@@ -105,7 +109,7 @@ def _band_keys(s: np.ndarray, band: int, need: int | None, common: np.ndarray) -
 _NONE = np.empty(0, dtype=_U)
 
 
-def segment_keys(s: np.ndarray, common: np.ndarray = _NONE, whole: bool = False) -> np.ndarray:
+def segment_keys(s: np.ndarray, common: np.ndarray = _NONE) -> np.ndarray:
     """All keys that a set emits, for its own band and, where partners reach it, the next."""
     n = len(s)
     if not n:
@@ -113,9 +117,9 @@ def segment_keys(s: np.ndarray, common: np.ndarray = _NONE, whole: bool = False)
     band, most = n.bit_length() - 1, n * 5 // 4
     top = 1 << (band + 1)
     with np.errstate(over="ignore"):
-        keys = [_band_keys(s, band, None if whole else (n + min(most, top - 1)) // 9 + 1, common)]
+        keys = [_band_keys(s, band, (n + min(most, top - 1)) // 9 + 1, common)]
         if most >= top:
-            keys.append(_band_keys(s, band + 1, None if whole else (n + most) // 9 + 1, common))
+            keys.append(_band_keys(s, band + 1, (n + most) // 9 + 1, common))
     return np.concatenate(keys).view(np.int64)
 
 
@@ -175,18 +179,17 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
-def _sample_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             s = shingle_set(text)
             if len(s):
-                keys = segment_keys(s, whole=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), _digest(s)[0]))], names=["key", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), _digest(s)[0]))], names=["key", "d"])
     _word_hash.clear()
 
 
-def common_keys(docs: DataFrame) -> np.ndarray:
-    """Segment contents that stand in COMMON_IN or more of some SAMPLE_DOCS different documents, at most MOST_COMMON.
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that stand in COMMON_IN or more of some SAMPLE_DOCS different documents, at most MOST_COMMON.
 
     They only decide the order in which segments are emitted: passages that many documents share come last, which
     keeps unrelated documents apart.  Whatever is in this list, no link is lost.
@@ -194,7 +197,7 @@ def common_keys(docs: DataFrame) -> np.ndarray:
     n = docs.count()
     h = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000))
     drawn = docs.where(h < 1_000_000 * min(1.0, SAMPLE_DOCS / max(n, 1))).select("text")
-    counts = drawn.mapInArrow(_sample_keys, "key long, d long").groupBy("key").agg(F.count_distinct("d").alias("n"))
+    counts = drawn.mapInArrow(_sample_shingles, "key long, d long").groupBy("key").agg(F.count_distinct("d").alias("n"))
     found = counts.where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "key").limit(MOST_COMMON).toArrow()
     return np.sort(found.column("key").to_numpy().view(_U))
 
@@ -271,7 +274,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     done: list[DataFrame] = []
-    made = docs.mapInArrow(_sketched(common_keys(docs)), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary")
+    made = docs.mapInArrow(_sketched(common_shingles(docs)), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary")
     full = keep(made, "sketched")
     rows = full.select("doc_id", "n_shingles", "d1", "d2")
     keyed_rows = full.where("keys IS NOT NULL")
