@@ -1,9 +1,11 @@
 """Personal data in whole texts: exact patterns, and a character BiLSTM-CRF that adds spans they miss.
 
-The tagger reads windows of WINDOW characters that overlap by half.  Every kind holds a digit or an '@', so windows
-are laid around those characters and no others can hold a span.  Each window is decoded by itself; the spans of all
-windows then compete in one weighted interval schedule over the document, where a span cut by a window's edge loses
-to the whole one seen by its neighbour.  What overlaps a pattern's span, or lacks its kind's form, is left out.
+The tagger reads windows of WINDOW characters at every half WINDOW of the text.  What lacks its kind's form is left
+out, and every form holds a digit or an '@', so only the windows with one of those and their neighbours are decoded.
+Each window is decoded by itself.  A span that touches a window's edge is read again in a window twice as long around
+it, until it ends inside a window or with the text, so spans of any length are seen whole.  The spans of all windows
+then compete in one weighted interval schedule over the document, where a cut span loses to the whole one.  What
+overlaps a pattern's span is left out.
 
 The tagger is trained where the query starts, on labelled windows drawn from seeded templates (TRAIN_WINDOWS of them,
 a fixed bound): the four kinds in many written forms among invented words, with look-alikes as negatives.
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +26,7 @@ from pyspark.sql.functions import pandas_udf
 from .tagger import PAD, Tagger, char_ids
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, CONTEXT, TRAIN_WINDOWS = 96, 24, 1800
+WINDOW, TRAIN_WINDOWS = 96, 1800
 SPAN = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 Span = tuple[int, int, int]  # start, end, kind's number
@@ -149,17 +151,20 @@ def trained(n: int = TRAIN_WINDOWS) -> Tagger:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows that cover every trigger and CONTEXT characters around it, overlapping by half."""
-    out: list[int] = []
-    done = 0
+    """Starts of the windows, one at every half WINDOW, that hold a trigger or lie next to one that does."""
+    half = WINDOW // 2
+    last = max(0, -(-len(text) // half) - 2)
+    near: set[int] = set()
     for m in _TRIGGER.finditer(text):
-        if m.end() + CONTEXT <= done:
-            continue
-        lo = max(0, m.start() - CONTEXT)
-        at = max(lo, out[-1] + WINDOW // 2) if out and lo < done else lo
-        out.append(at)
-        done = at + WINDOW
-    return out
+        k = m.start() // half  # windows k - 1 and k hold it
+        near.update(range(max(0, k - 2), min(last, k + 1) + 1))
+    return [k * half for k in sorted(near)]
+
+
+def wider(start: int, end: int, n: int, length: int) -> int:
+    """Start of the window of that length around a span of at most half of it, on a grid of a quarter of it."""
+    step = length // 4
+    return max(0, min(((start + end - length) // 2 + step // 2) // step * step, n - length))
 
 
 def schedule(spans: list[tuple[int, int, int, float]]) -> list[Span]:
@@ -190,38 +195,48 @@ def _has_form(s: str, kind: int) -> bool:
     return (14 <= digits <= 19 if kind == 2 else 10 <= digits <= 15) and s[-1].isdigit()
 
 
+def _decoded(texts: list[str], jobs: list[tuple[int, int]], length: int, tagger: Tagger) -> Iterator[tuple[int, int, int, int, float, bool]]:
+    """Each span in windows (text, start): text, start, end, kind, weight, and whether a window's edge may cut it."""
+    x = np.full((len(jobs), length), PAD)
+    for r, (i, at) in enumerate(jobs):
+        ids = char_ids(texts[i][at : at + length])
+        x[r, : len(ids)] = ids
+    tags, em = tagger.decode(x)
+    for r in np.flatnonzero(tags.any(1)):
+        (i, at), row = jobs[r], tags[r]
+        n, p = len(texts[i]), 0
+        while p < length:
+            if not row[p]:
+                p += 1
+                continue
+            kind, e = (int(row[p]) - 1) // 2, p + 1
+            while e < length and row[e] == 2 * kind + 2:
+                e += 1
+            cut = (p == 0 and at > 0) or (e == length and at + e < n)
+            weight = float((em[r, np.arange(p, e), row[p:e]] - em[r, p:e, 0]).sum())
+            if at + p < n:
+                yield i, at + p, min(at + e, n), kind, weight, cut
+            p = e
+
+
 def find_all(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tuple[int, int, int, bool]]]:
     """Every text's spans (start, end, kind, base) by start and kind."""
     base = [base_spans(t) for t in texts]
-    jobs = [(i, at) for i, t in enumerate(texts) for at in windows(t)]
+    jobs, length = [(i, at) for i, t in enumerate(texts) for at in windows(t)], WINDOW
     found: dict[int, list[tuple[int, int, int, float]]] = {}
-    for lo in range(0, len(jobs), batch):
-        part = jobs[lo : lo + batch]
-        x = np.full((len(part), WINDOW), PAD)
-        for r, (i, at) in enumerate(part):
-            ids = char_ids(texts[i][at : at + WINDOW])
-            x[r, : len(ids)] = ids
-        tags, em = tagger.decode(x)
-        for r in np.flatnonzero(tags.any(1)):
-            (i, at), row = part[r], tags[r]
-            n, p = len(texts[i]), 0
-            while p < WINDOW:
-                if not row[p]:
-                    p += 1
-                    continue
-                kind, e = (int(row[p]) - 1) // 2, p + 1
-                while e < WINDOW and row[e] == 2 * kind + 2:
-                    e += 1
-                cut = (p == 0 and at > 0) or (e == WINDOW and at + e < n)
-                s, t = at + p, min(at + e, n)
-                while s < t and texts[i][s] in " \n(" and texts[i][s] != "(":
+    while jobs:
+        again, rows = set(), max(1, batch * WINDOW // length)
+        for lo in range(0, len(jobs), rows):
+            for i, s, t, kind, weight, cut in _decoded(texts, jobs[lo : lo + rows], length, tagger):
+                if cut:
+                    again.add((i, wider(s, t, len(texts[i]), 2 * length)))
+                while s < t and texts[i][s] in " \n":
                     s += 1
                 while s < t and texts[i][t - 1] in " .,\n-":
                     t -= 1
-                weight = float((em[r, np.arange(p, e), row[p:e]] - em[r, p:e, 0]).sum())
                 if s < t and _has_form(texts[i][s:t], kind):
                     found.setdefault(i, []).append((s, t, kind, max(weight, 1e-3) * (0.1 if cut else 1)))
-                p = e
+        jobs, length = sorted(again), 2 * length
     out = []
     for i, spans in enumerate(base):
         more = [s for s in schedule(found[i]) if all(s[1] <= b[0] or b[1] <= s[0] for b in spans)] if i in found else []
