@@ -5,6 +5,11 @@ cut at line ends and after '.', '!' or '?' with white space; a sentence with a c
 other characters than a-z and 0-9 as one space) and looked up.  In the text's sequence of identifiers each rule, in
 turn, replaces its sequence wherever it stands by the licence's name, so longer rules come first.
 
+A known sentence may be wrapped: within a paragraph its words may stand on several lines, each behind comment signs, and
+a URL may follow a blank line.  Lines that make up no known sentence stay apart.  SPDX tags name their licences, each
+part of an expression by itself.  The SQL twin reads single lines and knows no SPDX tags; both give the same rows
+where a table has neither wrapped notices nor tags.
+
 Defined cases: a null or empty text, or one without clues, has no sentences and no licence; sentences with a clue that
 nothing knows are Unknown; repeated statements count each time; repeated rows and ties are rows like any other; an
 empty table gives none; other columns are left out.
@@ -85,7 +90,16 @@ RULES = (
     ("Proprietary", ("AllRights",)),
 )
 
+#: Licences by SPDX tag, as normalised; "+" is read as -or-later.
+SPDX = {n: n for n in dict.fromkeys(name for name, _ in RULES) if n != "Proprietary"} | {
+    "GPL-3.0": "GPL-3.0-only", "GPL-2.0": "GPL-2.0-only", "LGPL-3.0": "LGPL-3.0-only",
+    "LGPL-3.0-or-later": "LGPL-3.0-or-later", "LGPL-2.1": "LGPL-2.1-only", "LGPL-2.1-only": "LGPL-2.1-only", "LGPL-2.1-or-later": "LGPL-2.1-or-later",
+}
+#: More written forms of known sentences.
+MORE = {"ApacheCopy": ("You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",)}
+
 CLUE = "|".join(CLUES)
+TAG = "spdx license identifier"
 NOTICE = r"^(c )?copyright (c )?[0-9]{4}( |$)"
 
 
@@ -104,19 +118,51 @@ def sentences_by_text() -> dict[str, str]:
     return out
 
 
+def _known() -> dict[str, str]:
+    """sentences_by_text() with MORE and the SPDX tags."""
+    more = {normalised(t): name for name, texts in MORE.items() for t in texts}
+    return sentences_by_text() | more | {f"{TAG} {normalised(t)}": _tag_id(name) for t, name in SPDX.items()}
+
+
+def _tag_id(name: str) -> str:
+    return "SPDX" + re.sub("[^A-Za-z0-9]", "", name)
+
+
+def _wrapped(sentence: str) -> str:
+    """Pattern of whole lines that hold a normalised sentence and nothing else."""
+    out, *words = sentence.split(" ")
+    for w in words:
+        line = r"(?:\n[^A-Za-z0-9\n]*+(?:(?:dnl|rem)(?![A-Za-z0-9])[^A-Za-z0-9\n]*+)?+){0,3}+" if w in ("http", "https") else r"(?:(?<![.!?])\n[^A-Za-z0-9\n]*+(?:(?:dnl|rem)[^A-Za-z0-9\n]++)?+)?+"
+        out += rf"(?![A-Za-z0-9])[^A-Za-z0-9\n]*+{line}{w}"
+    return rf"(?dim)^[^A-Za-z0-9\n]*+(?:(?:dnl|rem)[^A-Za-z0-9\n]++)?+{out}(?![A-Za-z0-9])[^A-Za-z0-9\n]*+$"
+
+
+def _unwrapped(text: Column) -> Column:
+    """Every sentence on lines of its own, the known ones on one."""
+    text = F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n\n")
+    for s in sorted((s for s in _known() if not s.startswith(TAG)), key=len, reverse=True):
+        text = F.regexp_replace(text, _wrapped(s), s)
+    return F.regexp_replace(text, r"(?i)(spdx-license-identifier:[^\n]*?[0-9])\+", "$1-or-later")
+
+
+def _tags(sentence: Column) -> Column:
+    """A normalised sentence, or one SPDX tag for each licence of its expression."""
+    names = F.split(F.regexp_replace(F.regexp_replace(sentence, f"^(dnl |rem )?{TAG} ", ""), r" with .*?(?= or (?!later)| and |$)", ""), r" (?:or(?! later)|and) ")
+    return F.when(sentence.rlike(f"^(dnl |rem )?{TAG} "), F.transform(names, lambda n: F.concat(F.lit(f"{TAG} "), n))).otherwise(F.array(sentence))
+
+
 def _sequence(text: Column) -> Column:
     """<id><id>... of the sentences with a clue."""
-    known = F.create_map(*[F.lit(x) for pair in sentences_by_text().items() for x in pair])
-    parts = F.split(F.regexp_replace(text, r"([.!?])[ \t]+", "$1\n"), "\n")
-    clued = F.filter(F.transform(parts, F.lower), lambda s: s.rlike(CLUE))
-    plain = F.transform(clued, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    known = F.create_map(*[F.lit(x) for pair in _known().items() for x in pair])
+    clued = F.filter(F.transform(F.split(_unwrapped(text), "\n"), F.lower), lambda s: s.rlike(CLUE))
+    plain = F.flatten(F.transform(clued, lambda s: _tags(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))))
     named = F.transform(plain, lambda s: F.coalesce(F.try_element_at(known, s), F.when(s.rlike(NOTICE), F.lit("Copyright")), F.lit("Unknown")))
     return F.array_join(F.transform(named, lambda n: F.concat(F.lit("<"), n, F.lit(">"))), "")
 
 
 def _licensed(sequence: Column) -> Column:
     """The sequence with each rule's identifiers replaced by [licence]."""
-    for name, ids in RULES:
+    for name, ids in (*RULES, *((n, (_tag_id(n),)) for n in dict.fromkeys(SPDX.values()))):
         sequence = F.replace(sequence, F.lit("".join(f"<{i}>" for i in ids)), F.lit(f"[{name}]"))
     return sequence
 
