@@ -52,3 +52,9 @@ def unique_key(rows: DataFrame, key: str, id_col: str = "id") -> DataFrame:
     """The key stays on the least id that has it and becomes NULL on the others."""
     first = F.row_number().over(Window.partitionBy(key).orderBy(id_col)) == 1
     return rows.withColumn(key, F.when(F.col(key).isNotNull() & first, F.col(key)))
+
+
+def remapped(links: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Links (user_id, track_id) carried over to the merged records, each once."""
+    new = grouped.select(F.col("id").alias("track_id"), "group_id")
+    return links.join(new, "track_id").select("user_id", F.col("group_id").alias("track_id")).distinct()

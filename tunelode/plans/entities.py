@@ -70,9 +70,14 @@ def migration_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_recursive("SELECT DISTINCT user_id, group_id AS track_id FROM (SELECT o_custkey AS user_id, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <= 50) u JOIN t ON t.id = u.l_partkey"))
 def remapped_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Links carried over to the merged records."""
-    new = _grouped(spark, sf).select(F.col("id").alias("track_id"), "group_id")
-    return read(spark, sf, "v_user_tracks").where("user_id <= 50").join(new, "track_id").select("user_id", F.col("group_id").alias("track_id")).distinct()
+    """Links of the first users carried over to the merged records."""
+    return identity.remapped(read(spark, sf, "v_user_tracks").where("user_id <= 50"), _grouped(spark, sf))
+
+
+@query(_recursive("SELECT DISTINCT user_id, group_id AS track_id FROM (SELECT o_custkey AS user_id, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IS NOT NULL) u JOIN t ON t.id = u.l_partkey"))
+def remapped_links_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user's links carried over to the merged records."""
+    return identity.remapped(read(spark, sf, "v_user_tracks").where("user_id IS NOT NULL"), _grouped(spark, sf))
 
 
 @query(duck(T, "SELECT id, CASE WHEN row_number() OVER (PARTITION BY spotify_id ORDER BY id) = 1 THEN spotify_id END AS spotify_id FROM v_tracks"))
@@ -134,14 +139,30 @@ _CAND = "SELECT p_partkey AS pos, p_partkey % 97 AS wanted, p_name || CASE WHEN
 @query(f"""WITH w AS (SELECT p_partkey AS wanted, p_name AS title, p_brand AS artist FROM part WHERE p_partkey < 97), c AS ({_CAND}), m AS (SELECT w.wanted, pos, {_TIER} AS tier FROM w JOIN c ON c.wanted = w.wanted)
 SELECT wanted, pos, tier FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY tier, pos) = 1""")
 def match_tiers_best(spark: SparkSession, sf: str) -> DataFrame:
-    """The best of each wanted track's own candidates: exact, then containing, then any with a preview."""
-    p = read(spark, sf, "part")
-    key = F.col("p_partkey")
+    """The best of each of the first tracks' own candidates: exact, then containing, then any with a preview."""
+    p, key = read(spark, sf, "part"), F.col("p_partkey")
     w = p.where("p_partkey < 97").select(key.alias("wanted"), F.lower("p_name").alias("w_title"), F.lower("p_brand").alias("w_artist"))
-    c = p.select(key.alias("pos"), (key % 97).alias("wanted"), F.lower(F.concat("p_name", F.when(key % 3 == 0, " live").otherwise(""))).alias("title"), F.lower("p_brand").alias("artist"), F.when(key % 4 > 0, F.concat(F.lit("u"), key.cast("string"))).otherwise("").alias("preview_url"))
+    return _best(w, _candidates(p).withColumn("wanted", F.col("pos") % 97), "wanted")
+
+
+@query(f"""WITH w AS (SELECT p_partkey AS wanted, p_partkey // 20 AS list, p_name AS title, p_brand AS artist FROM part), c AS (SELECT *, pos // 20 AS list FROM ({_CAND})), m AS (SELECT w.wanted, pos, {_TIER} AS tier FROM w JOIN c ON c.list = w.list)
+SELECT wanted, pos, tier FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY tier, pos) = 1""")
+def match_tiers_best_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The best candidate of every track, from lists of twenty."""
+    p, key = read(spark, sf, "part"), F.col("p_partkey")
+    w = p.select(key.alias("wanted"), F.expr("p_partkey div 20").alias("list"), F.lower("p_name").alias("w_title"), F.lower("p_brand").alias("w_artist"))
+    return _best(w, _candidates(p).withColumn("list", F.expr("pos div 20")), "list")
+
+
+def _candidates(part: DataFrame) -> DataFrame:
+    key = F.col("p_partkey")
+    return part.select(key.alias("pos"), F.lower(F.concat("p_name", F.when(key % 3 == 0, " live").otherwise(""))).alias("title"), F.lower("p_brand").alias("artist"), F.when(key % 4 > 0, F.concat(F.lit("u"), key.cast("string"))).otherwise("").alias("preview_url"))
+
+
+def _best(wanted: DataFrame, candidates: DataFrame, on: str) -> DataFrame:
     exact = (F.col("title") == F.col("w_title")) & (F.col("artist") == F.col("w_artist"))
     tier = F.when(exact, 1).when(F.contains("title", "w_title") & F.contains("artist", "w_artist"), 2).when(F.col("preview_url") != "", 3)
-    rows = w.join(c, "wanted").withColumn("tier", tier).where("tier IS NOT NULL")
+    rows = wanted.join(candidates, on).withColumn("tier", tier).where("tier IS NOT NULL")
     return library.first_of(rows, "wanted", F.col("tier"), F.col("pos")).select("wanted", "pos", "tier")
 
 

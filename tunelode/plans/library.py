@@ -86,6 +86,12 @@ def already_linked_semi(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, T).join(links, "id", "left_semi").select("id")
 
 
+@query(duck(BOTH, "SELECT id FROM v_tracks WHERE EXISTS (SELECT 1 FROM v_user_tracks WHERE track_id = id)"))
+def already_linked_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks that any user has."""
+    return read(spark, sf, T).join(read(spark, sf, UT).select(F.col("track_id").alias("id")), "id", "left_semi").select("id")
+
+
 @query(duck(BOTH, "SELECT DISTINCT track_id FROM v_user_tracks m WHERE user_id = 7 AND NOT EXISTS (SELECT 1 FROM v_user_tracks o WHERE o.track_id = m.track_id AND o.user_id <> 7)"))
 def orphan_tracks_anti(spark: SparkSession, sf: str) -> DataFrame:
     return library.orphans(read(spark, sf, UT), 7)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays, text
@@ -56,7 +56,7 @@ def track_or_item(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select("event_id", F.coalesce(F.from_json("props", "k long")["k"], F.lit(0)).alias("k"), F.coalesce(one, two).alias("item"))
 
 
-_V = "list_transform(embedding[1:12], lambda x: x::DOUBLE)"
+_V, _W = "list_transform(embedding[1:12], lambda x: x::DOUBLE)", "list_transform(embedding, lambda x: x::DOUBLE)"
 _TEMPLATE = ", ".join(f"('{kind}', {k}, [{', '.join(repr(p[(i - k) % 12]) for i in range(12))}]::DOUBLE[])" for kind, p in (("M", arrays.MAJOR), ("m", arrays.MINOR)) for k in range(12))
 
 
@@ -64,6 +64,10 @@ def _chroma(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 12).alias("chroma"))
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("chroma"))
+
+
 @query(f"""WITH t(kind, k, p) AS (VALUES {_TEMPLATE}), v AS (SELECT vec_id, {_V} AS c FROM embeddings), u AS (SELECT vec_id, kind, k, unnest(c) AS x, unnest(p) AS y FROM v, t),
 r AS (SELECT vec_id, kind, k, corr(x, y) AS r FROM u GROUP BY ALL) SELECT vec_id, round(least(greatest(max(r) FILTER (kind = 'M') - max(r) FILTER (kind = 'm'), -1.0), 1.0), 5) AS mode FROM r GROUP BY vec_id""")
 def key_mode_valence(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,20 +77,47 @@ def key_mode_valence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT vec_id, round(list_avg({_V}), 6) AS mean, round(list_stddev_pop({_V}), 6) AS std, round(list_max(list_transform({_V}, lambda x: abs(x))), 6) AS peak FROM embeddings")
 def vector_mean_std(spark: SparkSession, sf: str) -> DataFrame:
+    return _moments(_chroma(spark, sf))
+
+
+@query(f"SELECT vec_id, round(list_avg({_W}), 6) AS mean, round(list_stddev_pop({_W}), 6) AS std, round(list_max(list_transform({_W}, lambda x: abs(x))), 6) AS peak FROM embeddings")
+def vector_mean_std_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _moments(_vectors(spark, sf))
+
+
+def _moments(vectors: DataFrame) -> DataFrame:
     c = F.col("chroma")
-    return _chroma(spark, sf).select("vec_id", F.round(arrays.mean(c), 6).alias("mean"), F.round(arrays.std(c), 6).alias("std"), F.round(arrays.max_abs(c), 6).alias("peak"))
+    return vectors.select("vec_id", F.round(arrays.mean(c), 6).alias("mean"), F.round(arrays.std(c), 6).alias("std"), F.round(arrays.max_abs(c), 6).alias("peak"))
 
 
 @query(f"""SELECT vec_id, round(list_sum(({_V})[5:8]), 6) AS middle, 16 AS padded, round(list_sum(list_transform({_V}, lambda x: x / list_max(list_transform({_V}, lambda y: abs(y))))), 5) AS normalised FROM embeddings""")
 def crop_pad_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    return _cropped(_chroma(spark, sf), 16)
+
+
+@query(f"""SELECT vec_id, round(list_sum(({_W})[31:34]), 6) AS middle, 80 AS padded, round(list_sum(list_transform({_W}, lambda x: x / list_max(list_transform({_W}, lambda y: abs(y))))), 5) AS normalised FROM embeddings""")
+def crop_pad_normalise_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _cropped(_vectors(spark, sf), 80)
+
+
+def _cropped(vectors: DataFrame, padded: int) -> DataFrame:
     c = F.col("chroma")
-    return _chroma(spark, sf).select("vec_id", F.round(arrays.total(arrays.crop_or_pad(c, 4)), 6).alias("middle"), F.size(arrays.crop_or_pad(c, 16)).alias("padded"), F.round(arrays.total(arrays.peak_normalised(c)), 5).alias("normalised"))
+    return vectors.select("vec_id", F.round(arrays.total(arrays.crop_or_pad(c, 4)), 6).alias("middle"), F.size(arrays.crop_or_pad(c, padded)).alias("padded"), F.round(arrays.total(arrays.peak_normalised(c)), 5).alias("normalised"))
 
 
 @query(f"SELECT vec_id, len({_V}) AS n, label > 4 AS high FROM embeddings")
 def vector_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors to JSON text and back; bad text is an empty vector."""
-    rows = read(spark, sf, "embeddings").select("vec_id", "label", F.to_json(F.slice(F.col("embedding").cast("array<double>"), 1, 12)).alias("j"))
+    return _through_json(read(spark, sf, "embeddings"), F.slice(F.col("embedding").cast("array<double>"), 1, 12))
+
+
+@query(f"SELECT vec_id, len({_W}) AS n, label > 4 AS high FROM embeddings")
+def vector_json_roundtrip_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _through_json(read(spark, sf, "embeddings"), F.col("embedding").cast("array<double>"))
+
+
+def _through_json(rows: DataFrame, vector: Column) -> DataFrame:
+    rows = rows.select("vec_id", "label", F.to_json(vector).alias("j"))
     back = F.coalesce(F.from_json("j", "array<double>"), F.array().cast("array<double>"))
     return rows.select("vec_id", F.size(back).cast("long").alias("n"), (F.col("label") > 4).alias("high"))
 
