@@ -202,11 +202,9 @@ last AS (SELECT * FROM h WHERE hit IS NOT NULL QUALIFY row_number() OVER (PARTIT
 SELECT id, CASE WHEN hit IS NULL THEN t.spotify_id ELSE last.spotify_id END AS spotify_id, CASE WHEN hit IS NULL THEN t.apple_id ELSE last.apple_id END AS apple_id, CASE WHEN hit IS NULL THEN t.title ELSE last.title END AS title
 FROM v_tracks t LEFT JOIN last ON hit = id UNION ALL SELECT (SELECT max(id) FROM v_tracks) + new_id, spotify_id, apple_id, title FROM h WHERE hit IS NULL"""))
 def upsert_tracks(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     p = F.col("p_partkey")
-    new = read(spark, sf, "part").where("p_partkey % 20 < 3").select(
-        F.row_number().over(Window.orderBy("p_partkey")).cast("long").alias("new_id"), F.when(p % 2 == 0, F.concat(F.lit("sp"), (p % 1500).cast("string"))).alias("spotify_id"),
+    new = evaluation.numbered(read(spark, sf, "part").where("p_partkey % 20 < 3"), "p_partkey").select(
+        F.col("place").cast("long").alias("new_id"), F.when(p % 2 == 0, F.concat(F.lit("sp"), (p % 1500).cast("string"))).alias("spotify_id"),
         F.when(p % 4 == 1, p % 1700).alias("apple_id"), F.upper("p_name").alias("title"),
     )
     return changes.upsert(read(spark, sf, T).select("id", "spotify_id", "apple_id", "title"), new)
