@@ -13,8 +13,10 @@ is at most the sets' symmetric difference.  Two uses:
   exceeds the bound.  What is left is verified on the shingle sets.
 
 Links are only needed to join documents that are not joined yet.  The first rounds verify, for each segment, neighbours
-in document order (a chain, not all pairs).  The last takes the segments that still hold several components and
-verifies all their pairs across components, so the components are exact whatever the first found.
+in document order (a chain, not all pairs).  The last takes the segments that still hold three or more documents of
+several components: their members are dealt into blocks of BLOCK, the dense sketches of two blocks meet in one task,
+and only pairs across components that the sketches don't rule out leave it, to be verified.  So no task holds a hot
+segment, no join pairs its members, and the components are exact whatever the first rounds found.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,10 @@ from ..operators.components import connected_components
 from ..session import discard, keep
 from .words import encoded
 
-#: Documents whose ids are sent to every executor at once, at most; above it the texts are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Rows of 32 bytes that are sent to every executor at once, at most (8 MB); above it the texts are joined by a shuffle.
+BROADCAST_ROWS = 250_000
+#: Members of a block of a segment, about; bytes of a sketch that go there, at most (longer ones are folded).
+BLOCK, CARRIED = 512, 256
 #: Of the sample that tells common shingles.
 SAMPLE_DOCS, COMMON_IN, MOST_COMMON = 6_000, 4, 200_000
 
@@ -141,16 +146,18 @@ def hamming(x: bytes, y: bytes) -> int:
 
 
 _ROW = pa.schema([
-    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
-    ("keys", pa.list_(pa.int64())), ("sketch", pa.binary()),
+    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("nth", pa.int64()),
+    ("keys", pa.list_(pa.int64())),
 ])
+_ROW_SQL = "doc_id long, n_shingles long, d1 long, d2 long, nth long, keys array<long>"
 
 
 def _sketched(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row a document; a set that the task has met before carries no keys again."""
+    """One row a document; a set that the task has met before carries no keys again, and no number (nth)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[tuple[int, int]] = set()
+        nth = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows: list[tuple] = []
             size = 0
@@ -162,7 +169,8 @@ def _sketched(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     if len(met) > 100_000:
                         met.clear()
                     met.add((d1, d2))
-                rows.append((doc_id, len(s), d1, d2, segment_keys(s, common) if new else None, dense_sketch(s) if new else None))
+                nth += 1
+                rows.append((doc_id, len(s), d1, d2, nth if new else None, segment_keys(s, common) if new else None))
                 size += len(s)
                 if size > 200_000:
                     yield _to_batch(rows)
@@ -233,116 +241,201 @@ def _near(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield p.loc[ok, ["a", "b"]]
 
 
+_SET = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("carried", pa.binary()), ("s", pa.list_(pa.int64()))])
+_SET_SQL = "node long, n long, sketch binary, carried binary, s array<long>"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.int64())
+    """Rows (text, node, d1, d2) to the sets of the texts that have these digests."""
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
-            ids, texts = (batch.column(c).slice(i, 64) for c in (0, 1))
-            sets = [shingle_set(t).view(np.int64) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sets, type=kind)], names=["node", "s"])
+            part = batch.slice(i, 64)
+            rows = []
+            for text, node, d1, d2 in zip(*(part.column(c).to_pylist() for c in range(4)), strict=True):
+                s = shingle_set(text)
+                if _digest(s) == (d1, d2):  # else another text of the same id
+                    sketch = dense_sketch(s)
+                    rows.append((node, len(s), sketch, _folded(sketch, CARRIED // 8).tobytes(), s.view(np.int64)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _SET, strict=True)], schema=_SET)
     _word_hash.clear()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, tag: str, done: list[DataFrame]) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, tag: str, done: list[DataFrame]) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold."""
-    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
     near = keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(_near, "a long, b long"), f"{tag}-near")
-    ids = keep(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), f"{tag}-ids")
-    wanted = ids.select(F.col("node").alias("doc_id"))
-    texts = docs.join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    sets = texts.select("doc_id", "text").mapInArrow(_sets, "node long, s array<long>")
-    one = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", F.size(F.array_intersect("sa", "sb")).alias("i"))
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = both.select("a", "b", "sa", "sb", F.size(F.array_intersect("sa", "sb")).alias("i"))
     links = keep(both.where("100 * i >= 80 * (size(sa) + size(sb) - i)").select("a", "b").distinct(), f"{tag}-links")
-    done += [near, ids, links]
+    done += [near, links]
     return links
 
 
+def _of(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs with the components ca and cb of their ends."""
+    comp = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    return pairs.join(comp("a"), "a", "left").join(comp("b"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+
+
+def _joined(found: DataFrame, links: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """Components after more links: those of the graph whose nodes are the components so far."""
+    over = keep(connected_components(_of(found, links).select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "over")
+    higher = over.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    known = found.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    found = keep(known.union(over.join(found, "node", "left_anti")), "components")
+    done += [over, found]
+    return found
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, part, v, c, n, carried), sorted by key, i and j, to the pairs (a, b) of different components whose
+    sketches don't rule a link out: between the blocks i and j of a key, or within i where they are equal."""
+    held: list[tuple] = []
+    found: set[tuple[int, int]] = set()
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
+            if held and held[0][:3] != row[:3]:
+                found.update(_block_pairs(held))
+                held = []
+            held.append(row)
+        if len(found) > 50_000:
+            yield _pair_batch(found)
+            found = set()
+    if held:
+        found.update(_block_pairs(held))
+    yield _pair_batch(found)
+
+
+def _pair_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    x = np.frombuffer(sketch, dtype=np.uint64)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _block_pairs(rows: list[tuple]) -> list[tuple[int, int]]:
+    i, j = rows[0][1:3]
+    if all(r[5] == rows[0][5] for r in rows):
+        return []
+    size = min(len(r[7]) for r in rows) // 8
+    x = np.stack([_folded(r[7], size) for r in rows])
+    part, v, c, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
+    out: list[tuple[int, int]] = []
+    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    for at in range(0, len(left), 64):
+        a = left[at : at + 64, None]
+        ok = (c[a] != c[right]) & (5 * np.minimum(n[a], n[right]) >= 4 * np.maximum(n[a], n[right]))
+        if i == j:
+            ok &= a < right
+        p, q = np.nonzero(ok)
+        p, q = a[p, 0], right[q]
+        near = 9 * np.bitwise_count(x[p] ^ x[q]).sum(1, dtype=np.int64) <= n[p] + n[q]
+        p, q = v[p[near]], v[q[near]]
+        out += zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True)
+    return out
+
+
+def _across(chains: DataFrame, found: DataFrame, sets: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """Pairs of different components under one key that the sketches don't rule out.
+
+    A key of two members has none but the pair that was verified as neighbours, so it is left out.
+    """
+    tagged = _of(found, chains)
+    member = tagged.select("key", F.col("a").alias("v"), F.col("ca").alias("c")).union(tagged.select("key", "b", "cb")).distinct()
+    size = member.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    mixed = keep(size.where("size > 2 AND lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "mixed")
+    done.append(mixed)
+    inside = chains.join(mixed, "key")
+    member = inside.select("key", "parts", F.col("a").alias("v")).union(inside.select("key", "parts", "b")).distinct()
+    member = member.join(found.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").join(
+        sets.select(F.col("node").alias("v"), "n", "carried"), "v"
+    )
+    part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    dealt = member.withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", F.coalesce("c", "v").alias("c"), "n", "carried")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocked, "a long, b long").distinct()
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; component_id is the least id reachable by links.
 
     Two documents link when 100 * |A and B| >= 80 * |A or B| over their distinct 5-word shingles, words lower-cased
     in A-Z.  A null or empty text has no shingles and its own id as component; fewer than five words are one
     shingle.  Rows with a null id get the component of equal texts that have ids, else null.  Repeated rows each
-    get a row; of equal sets one a task is compared, so copies are never paired.  An empty table gives no rows.
+    get a row, and rows of one id with different texts are documents of their own.  Equal sets are one node, so copies
+    are never paired.  An empty table gives no rows.
 
-    A node is such a document.  Nodes of equal sets are linked to the least one.  Then, first, each node is verified
-    against the earlier one with which it shares most neighbourhoods; then all other neighbours of different
-    components; then all pairs across components under keys that still hold several.
+    A node is a number that stands for one set.  First, each node is verified against the earlier one with which it
+    shares most neighbourhoods; then all other neighbours of different components; then what `_across` leaves.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     done: list[DataFrame] = []
-    made = docs.mapInArrow(_sketched(common_shingles(docs)), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sketch binary")
-    full = keep(made, "sketched")
+    full = keep(docs.mapInArrow(_sketched(common_shingles(docs)), _ROW_SQL), "sketched")
     rows = full.select("doc_id", "n_shingles", "d1", "d2")
-    keyed_rows = full.where("keys IS NOT NULL")
-    nodes = keyed_rows.select(F.col("doc_id").alias("node"), "n_shingles", "sketch")
-    keyed = keyed_rows.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")).repartition("key").sortWithinPartitions("key", "node")
-    chains = keep(keyed.mapInArrow(_chains, "key long, a long, b long"), "chains")
-    least = keep(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("first")), "least")
-    links = keyed_rows.select("doc_id", "d1", "d2").join(least, ["d1", "d2"]).where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = keep(links.distinct(), "copies")
-    done += [full, chains, least, links]
+    new_sets = full.where("nth IS NOT NULL")
+    keyed = new_sets.select(F.explode("keys").alias("key"), "nth").repartition("key").sortWithinPartitions("key", "nth")
+    met = keep(keyed.mapInArrow(_chains, "key long, a long, b long"), "met")
+    named = full.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    least = keep(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("nth").alias("node")), "least")
+    copies = new_sets.select("nth", "d1", "d2").join(least, ["d1", "d2"]).where("node < nth").select(F.col("nth").alias("node"), F.col("node").alias("component"))
+    copies = keep(copies, "copies")
+    chains = keep(_of(copies, met).where("ca <> cb").select("key", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")), "chains")
     pairs = keep(chains.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
-    found = keep(connected_components(links), "components")
-    best = _apart(pairs, found).groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    done += [pairs, found]
+    some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = keep(least.join(some, "node").select(F.col("first").alias("doc_id"), "node", "d1", "d2"), "wanted")
+    n_wanted = wanted.count()
+    texts = docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "doc_id").select("text", "node", "d1", "d2")
+    sets = keep(texts.mapInArrow(_sets, _SET_SQL), "sets")
+    done += [full, met, least, copies, chains, pairs, wanted, sets]
+    if sets.count() > n_wanted:  # rows repeated as a whole
+        sets = keep(sets.dropDuplicates(["node"]), "sets")
+        done.append(sets)
+    found = docs.sparkSession.createDataFrame([], "node long, component long")
     for tag in ("best", "chain", "across"):
         if tag == "best":
-            left = best
+            left = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
         elif tag == "chain":
-            left = _apart(pairs, found).select("a", "b")
+            left = _of(found, pairs).where("ca <> cb").select("a", "b")
         else:
-            left = _across(chains, pairs, found, done)
-        new = _verified(left, nodes, docs, tag, done)
-        if new.head(1):
-            links = links.union(new)
-            found = keep(connected_components(links), "components")
-            done.append(found)
-    final = least.join(found, F.col("first") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "first").alias("component"))
+            left = _across(chains, found, sets, done)
+        links = _verified(left, sets, tag, done)
+        if links.head(1):
+            found = _joined(found, links, done)
+    grouped = least.join(found, "node")
+    lowest = grouped.groupBy("component").agg(F.min("first").alias("least_id"))
+    grouped = grouped.join(lowest, "component").select("d1", "d2", "least_id")
+    final = least.select("d1", "d2", "first").join(grouped, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least_id", "first").alias("component"))
     out = rows.join(final, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = keep(out, "near-components")
-    discard(spark, *done)
+    discard(docs.sparkSession, *done)
     return out
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends aren't in one component yet, with their components ca and cb."""
-    comp = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    tagged = pairs.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
-    return tagged.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
-
-
-def _across(chains: DataFrame, pairs: DataFrame, found: DataFrame, done: list[DataFrame]) -> DataFrame:
-    """Pairs of different components under one key, but for those that were neighbours there."""
-    mixed = _apart(chains, found).select("key").distinct()
-    inside = keep(chains.join(mixed, "key", "left_semi"), "mixed")
-    done.append(inside)
-    member = inside.select("key", F.col("a").alias("v")).union(inside.select("key", "b")).distinct()
-    member = member.join(found.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
-    left = member.select("key", F.col("v").alias("a"), F.col("c").alias("ca"))
-    right = member.select("key", F.col("v").alias("b"), F.col("c").alias("cb"))
-    both = left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
-    return both.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-
-
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each near-duplicate group: the one with the smallest id.
 
-    Rows that share an id are one document and leave one row.  Rows without an id leave one row a text, unless a row
-    with an id has that text.
+    Rows that share an id are one document and leave one row, that of the least text (null first).  Rows without an id
+    leave one row a text, unless a row with an id has that text.  Columns of any name are kept as they are.
     """
-    found = keep(near_components(docs, id_col, text_col), "groups")
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "_first")
-    out = docs.join(first.select("_first"), F.col(id_col) == F.col("_first"), "left_semi")
-    repeated = first.where("n > 1")
+    found = near_components(docs, id_col, text_col)
+    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    ids = keep(first, "firsts")
+    named = F.broadcast(ids.select("doc_id")) if ids.count() <= BROADCAST_ROWS else ids.select("doc_id")
+    out = docs.join(named, docs[id_col] == named["doc_id"], "left_semi")
+    repeated = ids.where("n > 1").select("doc_id")
     if repeated.head(1):
-        again = F.col(id_col) == F.col("_first")
-        out = out.join(repeated, again, "left_anti").unionByName(out.join(repeated, again, "left_semi").dropDuplicates([id_col]))
+        row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)])
+        key = F.struct(docs[text_col].isNotNull(), docs[text_col])
+        many = out.join(repeated, out[id_col] == repeated["doc_id"], "left_semi")
+        one = many.groupBy(docs[id_col]).agg(F.min_by(row, key).alias("r")).select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+        out = out.join(repeated, out[id_col] == repeated["doc_id"], "left_anti").unionByName(one)
     if found.where("doc_id IS NULL AND component_id IS NULL").head(1):
-        alone = docs.where(F.col(id_col).isNull()).dropDuplicates([text_col])
-        named = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("_same")).distinct()
-        out = out.unionByName(alone.join(named, F.col(text_col) == F.col("_same"), "left_anti"))
+        alone = docs.where(docs[id_col].isNull()).dropDuplicates([text_col])
+        texts = docs.where(docs[id_col].isNotNull()).select(F.col(text_col).alias("text")).distinct()
+        out = out.unionByName(alone.join(texts, alone[text_col] == texts["text"], "left_anti"))
     return out
