@@ -35,10 +35,11 @@ from ..operators.components import connected_components
 from ..session import discard, keep
 from .words import encoded
 
-#: Rows of 32 bytes that are sent to every executor at once, at most (8 MB); above it the texts are joined by a shuffle.
+#: Rows of at most 32 bytes that are sent to every executor at once, at most (8 MB); above it the texts are joined by a shuffle.
 BROADCAST_ROWS = 250_000
-#: Members of a block of a segment, about; bytes of a sketch that go there, at most (longer ones are folded).
-BLOCK, CARRIED = 512, 256
+#: Members of a block of a segment, about; bytes of a sketch that go there, at most (longer ones are folded); and of a
+#: member's other segments the LOWEST keys, by which most pairs are seen to meet elsewhere too.
+BLOCK, CARRIED, LOWEST = 512, 256, 16
 #: Of the sample that tells common shingles.
 SAMPLE_DOCS, COMMON_IN, MOST_COMMON = 6_000, 4, 200_000
 
@@ -261,14 +262,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _word_hash.clear()
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """rows, a written table, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, tag: str, done: list[DataFrame]) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold."""
     of = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"x{x}"))
     near = keep(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(_near, "a long, b long"), f"{tag}-near")
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    ids = keep(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), f"{tag}-ids")
+    some = sets.select("node", "s").join(_sent(ids), "node", "left_semi")
+    both = near.join(some.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(some.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     both = both.select("a", "b", "sa", "sb", F.size(F.array_intersect("sa", "sb")).alias("i"))
     links = keep(both.where("100 * i >= 80 * (size(sa) + size(sb) - i)").select("a", "b").distinct(), f"{tag}-links")
-    done += [near, links]
+    done += [near, ids, links]
     return links
 
 
@@ -289,8 +297,9 @@ def _joined(found: DataFrame, links: DataFrame, done: list[DataFrame]) -> DataFr
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, part, v, c, n, carried), sorted by key, i and j, to the pairs (a, b) of different components whose
-    sketches don't rule a link out: between the blocks i and j of a key, or within i where they are equal."""
+    """Rows (key, i, j, part, v, c, n, carried, lowest), sorted by key, i and j, to the pairs (a, b) of different components
+    whose sketches don't rule a link out: between the blocks i and j of a key, or within i where they are equal.  A pair
+    that is seen to share a lower key is left to that."""
     held: list[tuple] = []
     found: set[tuple[int, int]] = set()
     for batch in batches:
@@ -325,6 +334,7 @@ def _block_pairs(rows: list[tuple]) -> list[tuple[int, int]]:
     size = min(len(r[7]) for r in rows) // 8
     x = np.stack([_folded(r[7], size) for r in rows])
     part, v, c, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
+    key, lower = rows[0][0], [frozenset(r[8]) for r in rows]
     out: list[tuple[int, int]] = []
     left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
     for at in range(0, len(left), 64):
@@ -335,8 +345,9 @@ def _block_pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         p, q = np.nonzero(ok)
         p, q = a[p, 0], right[q]
         near = 9 * np.bitwise_count(x[p] ^ x[q]).sum(1, dtype=np.int64) <= n[p] + n[q]
-        p, q = v[p[near]], v[q[near]]
-        out += zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True)
+        for x1, x2 in zip(p[near].tolist(), q[near].tolist(), strict=True):
+            if min(lower[x1] & lower[x2], default=key) >= key:
+                out.append((min(rows[x1][4], rows[x2][4]), max(rows[x1][4], rows[x2][4])))
     return out
 
 
@@ -352,12 +363,15 @@ def _across(chains: DataFrame, found: DataFrame, sets: DataFrame, done: list[Dat
     done.append(mixed)
     inside = chains.join(mixed, "key")
     member = inside.select("key", "parts", F.col("a").alias("v")).union(inside.select("key", "parts", "b")).distinct()
-    member = member.join(found.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").join(
+    member = keep(member, "members")
+    done.append(member)
+    lowest = member.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LOWEST).alias("lowest"))
+    member = member.join(lowest, "v").join(found.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").join(
         sets.select(F.col("node").alias("v"), "n", "carried"), "v"
     )
     part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
     dealt = member.withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", F.coalesce("c", "v").alias("c"), "n", "carried")
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", F.coalesce("c", "v").alias("c"), "n", "carried", "lowest")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocked, "a long, b long").distinct()
 
 
@@ -388,11 +402,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = keep(chains.groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = keep(least.join(some, "node").select(F.col("first").alias("doc_id"), "node", "d1", "d2"), "wanted")
-    n_wanted = wanted.count()
-    texts = docs.join(F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted, "doc_id").select("text", "node", "d1", "d2")
+    texts = docs.join(_sent(wanted), "doc_id").select("text", "node", "d1", "d2")
     sets = keep(texts.mapInArrow(_sets, _SET_SQL), "sets")
     done += [full, met, least, copies, chains, pairs, wanted, sets]
-    if sets.count() > n_wanted:  # rows repeated as a whole
+    if sets.count() > wanted.count():  # rows repeated as a whole
         sets = keep(sets.dropDuplicates(["node"]), "sets")
         done.append(sets)
     found = docs.sparkSession.createDataFrame([], "node long, component long")
@@ -425,7 +438,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = near_components(docs, id_col, text_col)
     first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     ids = keep(first, "firsts")
-    named = F.broadcast(ids.select("doc_id")) if ids.count() <= BROADCAST_ROWS else ids.select("doc_id")
+    named = _sent(ids).select("doc_id")
     out = docs.join(named, docs[id_col] == named["doc_id"], "left_semi")
     repeated = ids.where("n > 1").select("doc_id")
     if repeated.head(1):
