@@ -30,18 +30,26 @@ from .words import encoded
 _ODD = regex.compile(r"<\||[\x1c-\x1f]|\u03a3|\u0130")
 
 
+def _letters(p: str) -> bool:
+    """Whether p is one run of Latin letters, which every release of Unicode calls letters."""
+    return p.isalpha() and (p.isascii() or max(p) < "\u0250")
+
+
 class WordTokenizer:
     """The ids of a tokenizers file whose words end in a '</w>' token, with each word's ids kept.
 
     White space always ends a word there, so a text is cut at ASCII white space, each distinct chunk is tokenized
     once, and a text's ids are its chunks' ids in turn.
+
+    Chunks and words live as long as the worker, in two generations of about half of cache_bytes: what is used again
+    moves to the young one, and when that is full the old one goes.
     """
 
-    #: Chunks and words kept, at most, of each.
-    KEPT = 200_000
+    #: Of an entry: two objects and its place in a table.
+    ENTRY_BYTES = 200
     _by_path: dict[str, WordTokenizer] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_bytes: int = 96 << 20) -> None:
         import json
 
         from tokenizers import Tokenizer
@@ -54,47 +62,57 @@ class WordTokenizer:
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old: tuple[dict[bytes, bytes], dict[str, bytes]] = {}, {}
+        self.cache_bytes, self.held = cache_bytes, 0
 
     @classmethod
-    def of(cls, path: str) -> WordTokenizer:
+    def of(cls, path: str, cache_bytes: int = 96 << 20) -> WordTokenizer:
         if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
+            cls._by_path[path] = cls(path, cache_bytes)
+        cls._by_path[path].cache_bytes = cache_bytes
         return cls._by_path[path]
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
-        texts = [c.decode() for c in new]
-        odd = [bool(_ODD.search(t)) for t in texts]
-        parts = [
-            [] if o else self.pattern.findall(t.lower() if t.isascii() else unicodedata.normalize("NFC", t).lower())
-            for t, o in zip(texts, odd, strict=True)
-        ]
-        words = list({w for p in parts for w in p}.difference(self.words))
+        joined = b" ".join(new).decode()
+        if _ODD.search(joined):
+            odd = {c for c in new if _ODD.search(c.decode())}
+            self.chunks.update((c, self._plain(c.decode())) for c in odd)
+            new = [c for c in new if c not in odd]
+            joined = b" ".join(new).decode()
+        lowered = (joined.lower() if joined.isascii() else unicodedata.normalize("NFC", joined).lower()).split(" ")
+        parts = {p: [p[:-1], p[-1]] if p[-1] in ".,;:!?" and _letters(p[:-1]) else self.pattern.findall(p) for p in lowered if not _letters(p)}
+        whole = [p for p in lowered if p not in parts]
+        words = self._missing({*whole, *(w for p in parts.values() for w in p)}, self.words, self.old[1])
         ids = np.frombuffer(self._plain(" ".join(words)), dtype="<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(ends) == len(words):
-            data, at = ids.tobytes(), 0
-            for w, e in zip(words, (ends * 4).tolist(), strict=True):
-                self.words[w] = data[at:e]
-                at = e
+            data, ends = ids.tobytes(), ends.tolist()
+            self.words.update(zip(words, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         else:
             self.words.update((w, self._plain(w)) for w in words)
-        for c, t, p, o in zip(new, texts, parts, odd, strict=True):
-            self.chunks[c] = self._plain(t) if o else b"".join([self.words[w] for w in p])
-
-    def forget(self) -> None:
-        self.chunks.clear()
-        self.words.clear()
+        of = self.words.__getitem__
+        parts = {p: b"".join(map(of, ws)) for p, ws in parts.items()}
+        self.chunks.update((c, parts[p] if p in parts else of(p)) for c, p in zip(new, lowered, strict=False))
+        self.held += self.ENTRY_BYTES * (len(new) + len(words)) + 2 * len(joined)
+
+    def _missing(self, keys: set, young: dict, old: dict) -> list:
+        """The keys that neither generation has; those of the old one move to the young one."""
+        keys = keys.difference(young)
+        known = keys.intersection(old)
+        young.update((k, old.pop(k)) for k in known)
+        self.held += self.ENTRY_BYTES * len(known)
+        return list(keys - known)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers."""
-        if len(self.chunks) > self.KEPT or len(self.words) > self.KEPT:
-            self.forget()
+        if self.held > self.cache_bytes // 2:
+            self.old, self.chunks, self.words, self.held = (self.chunks, self.words), {}, {}, 0
         cut = [encoded(t).split() for t in texts]
-        if new := set().union(*cut).difference(self.chunks):
-            self._learn(list(new))
+        if new := self._missing(set().union(*cut), self.chunks, self.old[0]):
+            self._learn(new)
         of = self.chunks.__getitem__
         return [b"".join(map(of, c)) for c in cut]
 
@@ -105,15 +123,15 @@ _PIECES = pa.schema([
 ])
 
 
-def _cutter(path: str, capacity: int, end_id: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cutter(path: str, capacity: int, end_id: int, with_ids: bool, cache_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = pa.schema([*_PIECES, ("ids", pa.list_(pa.int32()))]) if with_ids else _PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, part, seen = WordTokenizer.of(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        tok, part, seen = WordTokenizer.of(path, cache_bytes), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                doc_ids, texts = (batch.column(c).slice(at, 64).to_pylist() for c in (0, 1))
+            for at in range(0, batch.num_rows, 256):
+                doc_ids, texts = (batch.column(c).slice(at, 256).to_pylist() for c in (0, 1))
                 rows: list[tuple] = []
                 for doc_id, ids in zip(doc_ids, tok.ids(texts), strict=True):
                     data = ids + end
@@ -124,7 +142,6 @@ def _cutter(path: str, capacity: int, end_id: int, with_ids: bool) -> Callable[[
                         seen[n] += 1
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-        tok.forget()  # Python workers outlive their tasks
 
     return run
 
@@ -194,17 +211,19 @@ def _placer(table: pd.DataFrame) -> Callable[[Iterator[pd.DataFrame]], Iterator[
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
+    cache_bytes: int = 96 << 20,
 ) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then end_id, so a null or empty text is one piece of one id.  Only documents longer
-    than capacity are cut.  with_ids adds the ids themselves.  Null ids stay null; repeated rows are packed again;
+    than capacity are cut.  with_ids adds the ids themselves; a Python worker keeps at most about cache_bytes of words'
+    ids for its next tasks, besides those of one batch.  Null ids stay null; repeated rows are packed again;
     an empty table gives no rows; other columns are left out.
     """
     kind = ", ids array<int>" * with_ids
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _cutter(tokenizer, capacity, end_id, with_ids),
+        _cutter(tokenizer, capacity, end_id, with_ids, cache_bytes),
         "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + kind,
     )
     pieces = keep(cut, "pieces")
