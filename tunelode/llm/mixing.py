@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 1. Targets: each source's share of the mix by weight, capped at `limit` times its size, the excess reshared.
-2. Blocks of `block` words go to the sources by highest quotients target / (2 s + 1), s being the blocks a source
-   has: an integer quota for each source.
-3. A source's documents are dealt by a hash to shards of about `shard_rows`; its quota is cut along the shards'
-   cumulated sizes and rounded there, so the shards' integer quotas add up to it.
+2. Equal blocks of words go to the sources by highest quotients target / (2 s + 1), s being the blocks a source has:
+   an integer quota for each source.  A block has `block` words, or fewer where a source's target is under four blocks.
+3. A source's documents are dealt by a hash to shards of about `shard_rows` rows and `shard_bytes` of text, whichever
+   are more; its quota is cut along the shards' cumulated sizes and rounded there, so the shards' integer quotas add
+   up to it.
 4. Within a shard the documents stand in a seeded order as one stream of words; whole passes come first, then the
-   quota's remaining blocks are drawn by a seeded permutation.
+   quota's rest is drawn by a seeded permutation of stretches of `block` words, the last of them in part.
 
-The driver holds one row a source (at most MAX_SOURCES, else an error); a shard's quota table has at most
-MAX_SHARDS rows a source; no task holds more than a shard.
+The driver holds one row a source (at most MAX_SOURCES, else an error).  A shard is one task's group; rows of one id
+and one text fall into one shard.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from ..session import keep
 from .words import WORD
 
 MAX_SOURCES = 200_000
-MAX_SHARDS = 1_000_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -87,17 +87,25 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
 
 
 def draw(sizes: np.ndarray, quota: int, block: int, rng: np.random.Generator) -> tuple[int, np.ndarray]:
-    """(whole passes, chosen blocks) of a stream of documents of these sizes; a pass is at most taken twice."""
+    """(whole passes, words taken from the start of each stretch of `block` words) for a quota of words over a stream of
+    documents of these sizes; at most two passes in all."""
     total = int(sizes.sum())
-    n = -(-total // block)
-    if not total or quota * block >= 2 * total:
-        return 2 * bool(total), np.zeros(n, dtype=bool)
-    passes, rest = divmod(quota * block, total)
-    chosen = np.zeros(n, dtype=bool)
+    taken = np.zeros(-(-total // block), dtype=np.int64)
+    if not total or quota >= 2 * total:
+        return 2 * bool(total), taken
+    passes, rest = divmod(quota, total)
     whole = total // block
-    order = np.r_[rng.permutation(whole), np.arange(whole, n)]  # a short last block comes last
-    chosen[order[: round(rest / block)]] = True
-    return passes, chosen
+    order = np.r_[rng.permutation(whole), np.arange(whole, len(taken))]  # a short last stretch comes last
+    taken[order[: rest // block]] = block
+    if rest % block:
+        taken[order[rest // block]] = rest % block
+    return passes, taken
+
+
+def cut_at(upto: Column, blocks: Column, size: Column) -> Column:
+    """round(upto * blocks / size) of whole numbers; the product is a decimal, since it may pass 2^63."""
+    wide = [x.cast("decimal(20,0)") for x in (upto, blocks, size)]
+    return F.floor((wide[0] * wide[1] * 2 + wide[2]) / (wide[2] * 2)).cast("long")
 
 
 def _selector(block: int, seed: int, out: pa.Schema, ranges: bool) -> Callable[[pa.Table], pa.Table]:
@@ -106,21 +114,21 @@ def _selector(block: int, seed: int, out: pa.Schema, ranges: bool) -> Callable[[
         sizes = rows.column("_size").to_numpy()
         first = rows.slice(0, 1).to_pylist()[0]
         rng = np.random.default_rng([seed, first["_rank"], first["_shard"]])
-        passes, chosen = draw(sizes, first["_quota"], block, rng)
-        edge = np.minimum(np.arange(len(chosen) + 1) * block, sizes.sum())
-        before = np.r_[0, np.cumsum(np.where(chosen, np.diff(edge), 0))]
+        passes, taken = draw(sizes, first["_quota"], block, rng)
+        before = np.r_[0, np.cumsum(taken)]
         ends = np.cumsum(sizes)
         starts = ends - sizes
 
         def taken_before(x: np.ndarray) -> np.ndarray:
-            b = np.minimum(x // block, len(chosen))
-            part = np.r_[chosen, False][b] * (x - b * block)
-            return before[b] + part
+            b = np.minimum(x // block, len(taken))
+            return before[b] + np.minimum(np.r_[taken, 0][b], x - b * block)
 
         cols = {"taken": pa.array(passes * sizes + taken_before(ends) - taken_before(starts), type=pa.int64())}
         if ranges:
-            flips = np.flatnonzero(np.diff(np.r_[False, chosen, False].astype(np.int8)))
-            lo, hi = edge[flips[::2]], edge[flips[1::2]]
+            lo = np.flatnonzero(taken) * block
+            hi = lo + taken[lo // block]
+            apart = np.flatnonzero(lo[1:] != hi[:-1])
+            lo, hi = np.r_[lo[:1], lo[1:][apart]], np.r_[hi[:-1][apart], hi[-1:]]
             spans = []
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 a, b = np.searchsorted(hi, s, side="right"), np.searchsorted(lo, e, side="left")
@@ -136,46 +144,50 @@ def _selector(block: int, seed: int, out: pa.Schema, ranges: bool) -> Callable[[
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, block: int = 32,
-    shard_rows: int = 256, seed: int = 17, ranges: bool = False, keep_text: bool = True,
+    shard_rows: int = 256, shard_bytes: int = 4 << 20, seed: int = 17, ranges: bool = False, keep_text: bool = True,
 ) -> DataFrame:
     """docs with the words that the mix takes of each: size, source_size, target and taken are added.
 
     ranges adds passes (how often the whole text comes) and ranges, the word ranges [from, to) that come once more.
     Sources stand by code point, null last, and weigh `weights` in turn.  A null or empty text has size 0 and
     nothing taken; a null id is dealt like an id; repeated rows each have their own words; an empty table gives no
-    rows; other columns pass through, but for columns named like an added one, which is an error.  Without keep_text
+    rows; other columns, of any name but an added one's, which is an error, pass through.  Without keep_text
     the texts are measured once and left behind, so that only ids and sizes are shuffled.
     """
     spark = docs.sparkSession
     added = ["size", "source_size", "target", "taken"] + ["passes", "ranges"] * ranges
     if clash := {*added} & {*docs.columns}:
         raise ValueError(f"columns exist: {sorted(clash)}")
-    sized = docs.withColumns({"_size": word_count(text_col), "_tie": F.coalesce(F.xxhash64(text_col), F.lit(0))})
+    names = [c for c in docs.columns if keep_text or c != text_col] + added
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column is named like one made here
+    docs, id_col, text_col, source_col = docs.toDF(*at.values()), at[id_col], at[text_col], at[source_col]
+    sized = docs.withColumns({"_size": word_count(text_col), "_tie": F.coalesce(F.xxhash64(text_col), F.lit(0)), "_bytes": F.coalesce(F.octet_length(text_col), F.lit(0))})
     if not keep_text:
         sized = keep(sized.drop(text_col), "sizes")
-    per = sized.groupBy(F.col(source_col).alias("s")).agg(F.sum("_size").alias("n"), F.count("*").alias("rows"))
+    per = sized.groupBy(F.col(source_col).alias("s")).agg(F.sum("_size").alias("n"), F.count("*").alias("rows"), F.sum("_bytes").alias("bytes"))
     found = per.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r.s is None, r.s or ""))
     sizes = [int(r.n) for r in found]
     goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(found))], share, limit)
-    quotas = sainte_lague(goal, round(sum(goal) / block))
+    unit = max(1, min(block, int(min((x for x in goal if x > 0), default=block) / 4)))
+    quotas = sainte_lague(goal, round(sum(goal) / unit))
     plan = spark.createDataFrame(
-        [(r.s, i, sizes[i], goal[i], quotas[i], min(MAX_SHARDS, -(-r.rows // shard_rows))) for i, r in enumerate(found)],
+        [(r.s, i, sizes[i], goal[i], quotas[i], max(-(-r.rows // shard_rows), -(-r.bytes // shard_bytes))) for i, r in enumerate(found)],
         "_s string, _rank int, source_size long, target double, _all long, _shards long",
     )
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
+    h = F.xxhash64(F.col(id_col), F.col("_tie"), F.lit(seed))
     dealt = sized.join(F.broadcast(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_s"))).withColumns({
         "_shard": F.pmod(h, F.col("_shards")), "_order": F.xxhash64(h, F.lit(1)),
     })
     order = Window.partitionBy("_rank").orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("n").over(order)
-    cut = lambda x: F.round(x * F.col("_all") / F.col("source_size")).cast("long")
+    cut = lambda x: cut_at(x, F.col("_all"), F.col("source_size"))
     shard_quota = keep(
         dealt.groupBy("_rank", "_shard", "_all", "source_size").agg(F.sum("_size").alias("n"))
         .withColumn("_hi", upto).where("source_size > 0")
-        .select(F.col("_rank").alias("_r"), F.col("_shard").alias("_c"), (cut(F.col("_hi")) - cut(F.col("_hi") - F.col("n"))).alias("_quota")),
+        .select(F.col("_rank").alias("_r"), F.col("_shard").alias("_c"), ((cut(F.col("_hi")) - cut(F.col("_hi") - F.col("n"))) * unit).alias("_quota")),
         "quotas",
     )
     rows = dealt.join(shard_quota, (F.col("_rank") == F.col("_r")) & (F.col("_shard") == F.col("_c")), "left")
@@ -186,7 +198,7 @@ def mix(
         out = T.StructType([*out.fields, T.StructField("passes", T.IntegerType()), T.StructField("ranges", T.ArrayType(span))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return rows.groupBy("_rank", "_shard").applyInArrow(_selector(block, seed, to_arrow_schema(out), ranges), out)
+    return rows.groupBy("_rank", "_shard").applyInArrow(_selector(block, seed, to_arrow_schema(out), ranges), out).toDF(*names)
 
 
 def _slicer(kind: pa.Schema, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -214,9 +226,12 @@ def _slicer(kind: pa.Schema, text: str) -> Callable[[Iterator[pa.RecordBatch]],
 def apply_mix(docs: DataFrame, text_col: str = "text", **options: object) -> DataFrame:
     """The mixed corpus: docs as often as the mix takes them whole, and rows cut to the words it takes once more.
 
-    Columns are those of docs; a document from which nothing is taken has no row.
+    Columns are those of docs, of any name; a document from which nothing is taken has no row.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    mixed = mix(docs, text_col=text_col, ranges=True, **options).where("taken > 0")
-    return mixed.mapInArrow(_slicer(to_arrow_schema(docs.schema), text_col), docs.schema)
+    at = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    options = {k: at[v] if k.endswith("_col") else v for k, v in ({"id_col": "doc_id", "source_col": "source"} | options).items()}
+    plain = docs.toDF(*at.values())
+    mixed = mix(plain, text_col=at[text_col], ranges=True, **options).where("taken > 0")
+    return mixed.mapInArrow(_slicer(to_arrow_schema(plain.schema), at[text_col]), plain.schema).toDF(*at)

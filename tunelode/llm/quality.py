@@ -162,3 +162,14 @@ def ablation(measured: DataFrame, policies: tuple[Policy, ...] = (STANDARD, LENI
         F.sum(F.when(hit == F.col("bit"), F.col("n")).otherwise(0)).alias("only_by_rule"),
         F.sum(F.when((hit == 0) | (hit == F.col("bit")), F.col("n")).otherwise(0)).alias("kept_without"),
     )
+
+
+def passing(docs: DataFrame, policy: Policy, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the policy keeps, with the columns of docs, of any name.
+
+    A null or empty text has no words; repeated rows are judged alike; an empty table gives no rows.
+    """
+    name, taken = "ledger", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return ledger(docs, text_col, name).where(kept(policy, name)).drop(name)
