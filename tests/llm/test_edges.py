@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_pairs_and_packing import brute_components
 
-from tunelode.llm import jaccard, mixing, packing
+from tunelode.llm import ivfpq, jaccard, mixing, packing
 
 
 def test_drawn_words_are_whole_stretches_and_one_in_part():
@@ -114,3 +114,12 @@ def test_every_stage_takes_an_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_search_takes_tiny_huge_and_odd_vectors(spark):
+    rows = [(0, [1e-200, 0.0]), (50, [3.0, 4.0]), (1, [1e200, 1e200]), (2, [5e-324, 0.0]), (3, [1.0, 2.0, 3.0]), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, None), (8, [])]
+    got = ivfpq.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 50 = 0").collect()
+    by = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 50)}
+    half = 0.5**0.5
+    assert [i for i, _ in by[0]] == [2, 1, 50] and [s for _, s in by[0]] == pytest.approx([1, half, 0.6])
+    assert [i for i, _ in by[50]] == [1, 0, 2] and [s for _, s in by[50]] == pytest.approx([1.4 * half, 0.6, 0.6])

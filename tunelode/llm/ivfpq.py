@@ -101,7 +101,7 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     ids, v = batch.column(0).to_numpy(), batch.column(1)
-    return ids, v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+    return ids, _scaled(v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
 
 
 def _merged(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -120,6 +120,11 @@ def _merged(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.n
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near 1: cosines stay, no square over- or underflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0))[1][:, None])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)
 
@@ -203,7 +208,7 @@ def search(
     holds, among all other rows; ties go to the smaller id.
 
     Rows with a null id and vectors that are null, empty, zero or hold null or non-finite components take no part;
-    vectors of another length than the most frequent one are an error.  Rows that share an id are candidates with
+    nor do vectors of another length than the most frequent one (of equal ones, the shortest).  Rows that share an id are candidates with
     one best score, and never of each other.  No usable row gives no rows; other columns are left out.
     """
     spark = vectors.sparkSession
@@ -211,13 +216,13 @@ def search(
     usable &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False)))
-    n, least, most = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
-    if not n:
+    usual = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    if not usual:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if least != most:
-        raise ValueError(f"vectors of {least} to {most} components")
+    most, n = usual
+    rows = rows.where(F.size("v") == most)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()
-    index = fit(_unit(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, most)), n)
+    index = fit(_unit(_scaled(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, most))), n)
     blocks = keep(rows.mapInArrow(_indexer(index), _BLOCK_SQL), "index")
     groups = max(1, int(n) // (4 * BLOCK_ROWS))
     asked = keep(rows.where(is_query).coalesce(max(1, int(n) // (200 * QUERY_ROWS))).mapInArrow(_query_packer, "q_ids binary, q_vectors binary"), "queries")
