@@ -21,6 +21,7 @@ segment, no join pairs its members, and the components are exact whatever the fi
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,6 +44,9 @@ BLOCK, CARRIED, LOWEST = 512, 256, 16
 #: Of the sample that tells common shingles.
 SAMPLE_DOCS, COMMON_IN, MOST_COMMON = 6_000, 4, 200_000
 
+#: Words whose hashes a task keeps, at most.
+WORDS = 60_000
+
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 _word_hash: dict[bytes, int] = {}
@@ -55,8 +59,16 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+def _released() -> None:
+    """Give a task's memory back: Python workers outlive their tasks."""
+    _word_hash.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_word_hash) > 200_000:
+    if len(_word_hash) > WORDS:
         _word_hash.clear()
     try:
         got = list(map(_word_hash.__getitem__, words))
@@ -178,7 +190,7 @@ def _sketched(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     rows, size = [], 0
             if rows:
                 yield _to_batch(rows)
-        _word_hash.clear()  # Python workers outlive their tasks
+        _released()
 
     return run
 
@@ -194,7 +206,7 @@ def _sample_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             s = shingle_set(text)
             if len(s):
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), _digest(s)[0]))], names=["key", "d"])
-    _word_hash.clear()
+    _released()
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -259,7 +271,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((node, len(s), sketch, _folded(sketch, CARRIED // 8).tobytes(), s.view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _SET, strict=True)], schema=_SET)
-    _word_hash.clear()
+    _released()
 
 
 def _sent(rows: DataFrame) -> DataFrame:

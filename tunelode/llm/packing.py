@@ -55,8 +55,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        spec = json.loads(self.tok.to_str())
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        spec = json.loads(self.tok.pre_tokenizer.__getstate__())  # not the whole file, which has the vocabulary
+        self.pattern = regex.compile(spec["pretokenizers"][0]["pattern"]["Regex"])
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -123,7 +123,7 @@ _PIECES = pa.schema([
 ])
 
 
-def _cutter(path: str, capacity: int, end_id: int, with_ids: bool, cache_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cutter(path: str, capacity: int, end_id: int, with_ids: bool, cache_bytes: int, keep_words: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = pa.schema([*_PIECES, ("ids", pa.list_(pa.int32()))]) if with_ids else _PIECES
 
@@ -142,6 +142,10 @@ def _cutter(path: str, capacity: int, end_id: int, with_ids: bool, cache_bytes:
                         seen[n] += 1
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        if not keep_words:  # Python workers outlive their tasks
+            del tok
+            WordTokenizer._by_path.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -212,18 +216,18 @@ def _placer(table: pd.DataFrame) -> Callable[[Iterator[pd.DataFrame]], Iterator[
 
 def pack(
     docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False,
-    cache_bytes: int = 96 << 20,
+    cache_bytes: int = 96 << 20, keep_words: bool = True,
 ) -> DataFrame:
     """Every piece of every document with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then end_id, so a null or empty text is one piece of one id.  Only documents longer
     than capacity are cut.  with_ids adds the ids themselves; a Python worker keeps at most about cache_bytes of words'
-    ids for its next tasks, besides those of one batch.  Null ids stay null; repeated rows are packed again;
+    ids for its next tasks, besides those of one batch, and nothing without keep_words.  Null ids stay null; repeated rows are packed again;
     an empty table gives no rows; other columns are left out.
     """
     kind = ", ids array<int>" * with_ids
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _cutter(tokenizer, capacity, end_id, with_ids, cache_bytes),
+        _cutter(tokenizer, capacity, end_id, with_ids, cache_bytes, keep_words),
         "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + kind,
     )
     pieces = keep(cut, "pieces")
