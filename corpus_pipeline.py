@@ -38,11 +38,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: every piece's place in a sequence of at most 2048 tokens."""
+    """Best-fit packing: every piece's place in a sequence of at most 2048 tokens.
+
+    Words' ids are kept in less memory than by itself and not between tasks, since the stages before leave less of it.
+    """
     import public_tokenizers
 
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_bytes=16 << 20, keep_words=False)
 
 
 STAGES = [
