@@ -21,7 +21,6 @@ segment, no join pairs its members, and the components are exact whatever the fi
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import discard, keep
-from .words import encoded
+from .words import encoded, give_back
 
 #: Rows of at most 32 bytes that are sent to every executor at once, at most (8 MB); above it the texts are joined by a shuffle.
 BROADCAST_ROWS = 250_000
@@ -60,11 +59,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def _released() -> None:
-    """Give a task's memory back: Python workers outlive their tasks."""
+    """Give a task's memory back."""
     _word_hash.clear()
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    give_back()
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:

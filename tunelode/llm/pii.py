@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .tagger import PAD, Tagger, char_ids
+from .words import give_back
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, TRAIN_WINDOWS = 96, 1800
@@ -219,7 +220,7 @@ def _decoded(texts: list[str], jobs: list[tuple[int, int]], length: int, tagger:
             p = e
 
 
-def find_all(texts: list[str], tagger: Tagger, batch: int = 512) -> list[list[tuple[int, int, int, bool]]]:
+def find_all(texts: list[str], tagger: Tagger, batch: int = 128) -> list[list[tuple[int, int, int, bool]]]:
     """Every text's spans (start, end, kind, base) by start and kind."""
     base = [base_spans(t) for t in texts]
     jobs, length = [(i, at) for i, t in enumerate(texts) for at in windows(t)], WINDOW
@@ -286,8 +287,10 @@ def redact(docs: DataFrame, text_col: str = "text", train_windows: int = TRAIN_W
     tagger = trained(train_windows)
 
     @pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        found = find_all([t if isinstance(t, str) else "" for t in texts], tagger)
-        return pd.Series([redacted(t, s) if isinstance(t, str) else None for t, s in zip(texts, found, strict=True)], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = find_all([t if isinstance(t, str) else "" for t in texts], tagger)
+            yield pd.Series([redacted(t, s) if isinstance(t, str) else None for t, s in zip(texts, found, strict=True)], dtype=object)
+        give_back()
 
     return docs.withColumn(text_col, run.asNondeterministic()(F.col(text_col)))

@@ -40,7 +40,8 @@ class Tagger:
             self.p |= {f"w{d}": w(embed, 4 * hidden), f"u{d}": w(hidden, 4 * hidden), f"b{d}": np.zeros(4 * hidden, np.float32)}
             self.p[f"b{d}"][hidden : 2 * hidden] = 1
 
-    def _run(self, e: np.ndarray, d: str) -> tuple[np.ndarray, list]:
+    def _run(self, e: np.ndarray, d: str, save: bool = False) -> tuple[np.ndarray, list]:
+        """Hidden states in one direction, and what `_back` needs of every step if it is to be saved."""
         n, steps, _ = e.shape
         h = c = np.zeros((n, self.h), np.float32)
         x = e @ self.p[f"w{d}"] + self.p[f"b{d}"]
@@ -53,7 +54,8 @@ class Tagger:
             c = f * c + i * g
             tc = np.tanh(c)
             h = out[:, t] = o * tc
-            saved.append((i, f, o, g, before, tc, old))
+            if save:
+                saved.append((i, f, o, g, before, tc, old))
         return out, saved
 
     def _back(self, e: np.ndarray, d: str, dh_all: np.ndarray, saved: list, grad: dict) -> np.ndarray:
@@ -81,7 +83,7 @@ class Tagger:
         """Mean negative log-likelihood of tags y over windows x, and its gradients."""
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
         e = self.p["emb"][x]
-        (hf, sf), (hb, sb) = self._run(e, "f"), self._run(e[:, ::-1], "b")
+        (hf, sf), (hb, sb) = self._run(e, "f", True), self._run(e[:, ::-1], "b", True)
         both = np.concatenate([hf, hb[:, ::-1]], axis=2)
         em, tr = both @ self.p["out"] + self.p["ob"], self.p["tr"]
         n, steps, k = em.shape
