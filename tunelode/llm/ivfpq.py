@@ -2,11 +2,12 @@
 
 Fitting (on the driver, from a bounded sample): coarse centroids, one codebook for each slice of the residuals, and
 the number of lists to probe, chosen so that sampled queries find `target` of their true neighbours in the sample.
-Indexing: every vector gets its list and its code; a task packs what it has read into blocks of BLOCK_ROWS, each an
-inverted file of its own over the shared centroids.  No list is gathered, so a hot one is spread like any other rows.
-Searching: queries are packed into blocks too, and every pair of blocks meets in an equi-join on the group of index
-blocks.  In a pair, asymmetric distance tables score the probed lists' codes; the best `rerank` of them, and all whose
-score plus its likely error could still enter the result, are ranked by exact cosine, and k a block are kept.
+Indexing: every vector becomes its list, its id and its code; vectors themselves don't travel with them.
+Searching: every query goes to the lists that it probes.  A list is cut into cells of about CELL_ROWS codes and
+QUERY_ROWS queries by counted numbers of parts, so a hot list is many cells, and codes and queries meet by list and
+part.  In a cell, asymmetric distance tables score the codes, and the best few a query leave it.  The best `rerank` of
+a query's lists are joined with their vectors and ranked by exact cosine.  What is shuffled grows with the vectors and
+with queries x probes.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import keep
+from ..session import discard, keep
 
-#: Vectors that the index is fitted on, at most; index blocks and query blocks hold so many rows at most.
-SAMPLE_ROWS, BLOCK_ROWS, QUERY_ROWS = 16_384, 8_192, 256
-MAX_LISTS = 512
+#: Vectors that the index is fitted on, at most; there is a list for PER_LIST of them, at most.
+SAMPLE_ROWS, PER_LIST = 16_384, 16
+#: Codes and queries of a cell, about; queries that are scored at once; and what a cell gives a query, in units of k.
+CELL_ROWS, QUERY_ROWS, AT_ONCE, CELL_BEST = 8_192, 2_048, 256, 4
 
 
 @dataclass
@@ -37,17 +39,14 @@ class Index:
         half = (self.centroids**2).sum(1) / 2
         return np.concatenate([(half - x[i : i + 2048] @ self.centroids.T).argmin(1) for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0, np.int64)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(list, code, likely error of a dot product with a unit vector) of each row."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(list, code) of each row."""
         at = self.lists(x)
         rest = x - self.centroids[at]
         codes = np.empty((len(x), len(self.books)), dtype=np.uint8)
-        lost = np.zeros(len(x), dtype=np.float32)
         for j, (book, part) in enumerate(zip(self.books, self._slices(rest), strict=True)):
-            d = (book**2).sum(1) - 2 * part @ book.T
-            codes[:, j] = d.argmin(1)
-            lost += ((part - book[codes[:, j]]) ** 2).sum(1)
-        return at, codes, 3 * np.sqrt(lost / x.shape[1])
+            codes[:, j] = ((book**2).sum(1) - 2 * part @ book.T).argmin(1)
+        return at, codes
 
     def _slices(self, x: np.ndarray) -> list[np.ndarray]:
         width = self.books.shape[2]
@@ -76,7 +75,7 @@ def fit(sample: np.ndarray, n_rows: int, k: int = 5, width: int = 2, target: flo
     """An index for n_rows unit vectors, from a sample of them."""
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float32)
-    lists = int(min(MAX_LISTS, len(x), max(1, np.sqrt(n_rows))))
+    lists = int(max(1, min(len(x) // PER_LIST, np.sqrt(n_rows))))
     index = Index(_kmeans(x, lists, 8, rng), np.zeros((0, 0, width), np.float32), lists)
     rest = x - index.centroids[index.lists(x)]
     slices = -(-x.shape[1] // width)
@@ -94,30 +93,14 @@ def fit(sample: np.ndarray, n_rows: int, k: int = 5, width: int = 2, target: flo
     return index
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("lists", pa.binary()), ("codes", pa.binary()), ("slack", pa.binary()), ("vectors", pa.binary())])
-_BLOCK_SQL = "block long, ids binary, lists binary, codes binary, slack binary, vectors binary"
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_CODE_SQL = "list int, vec_id long, code binary"
+_PROBE_SQL = "list int, query_id long, unit binary"
+_NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("approx", pa.float32())])
 
 
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids, v = batch.column(0).to_numpy(), batch.column(1)
-    return ids, _scaled(v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1))
-
-
-def _merged(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The batches' (ids, vectors), in parts of `rows` rows."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    n = 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            held.append(_matrix(batch.slice(at, rows)))
-            n += len(held[-1][0])
-            if n >= rows:
-                ids, v = (np.concatenate(x) for x in zip(*held, strict=True))
-                yield ids[:rows], v[:rows]
-                held, n = [(ids[rows:], v[rows:])], n - rows
-    if n:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+def _matrix(batch: pa.RecordBatch, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+    v = batch.column(vectors)
+    return batch.column(ids).to_numpy(), _scaled(v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
 
 
 def _scaled(v: np.ndarray) -> np.ndarray:
@@ -129,25 +112,34 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)
 
 
-def _block_number(ids: np.ndarray) -> int:
-    """A number that says which group an index block joins; blocks that share it just share a group."""
-    return int(ids[0] * 0x9E3779B1 + len(ids)) & 0x7FFFFFFF
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in rows], type=pa.binary())
 
 
-def _indexer(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _coder(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, v in _merged(batches, BLOCK_ROWS):
-            at, codes, slack = index.encode(_unit(v))
-            order = np.lexsort((ids, at))
-            cells = (ids[order].tobytes(), at[order].astype(np.int32).tobytes(), codes[order].tobytes(), slack[order].astype(np.float32).tobytes(), v[order].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip((_block_number(ids), *cells), _BLOCK, strict=True)], schema=_BLOCK)
+        for batch in batches:
+            if batch.num_rows:
+                ids, v = _matrix(batch, "vec_id", "v")
+                at, codes = index.encode(_unit(v))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(ids), _binary(codes)], names=["list", "vec_id", "code"])
 
     return run
 
 
-def _query_packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, v in _merged(batches, QUERY_ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([v.tobytes()])], names=["q_ids", "q_vectors"])
+def _prober(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every query once for each list that it probes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, AT_ONCE):
+                ids, v = _matrix(batch.slice(lo, AT_ONCE), "vec_id", "v")
+                unit = _unit(v)
+                lists = np.argsort(-(unit @ index.centroids.T), axis=1, kind="stable")[:, : index.probes]
+                columns = [pa.array(lists.ravel().astype(np.int32)), pa.array(np.repeat(ids, lists.shape[1])), _binary(np.repeat(unit, lists.shape[1], axis=0))]
+                yield pa.RecordBatch.from_arrays(columns, names=["list", "query_id", "unit"])
+
+    return run
 
 
 def _best(approx: np.ndarray, n: int) -> np.ndarray:
@@ -159,48 +151,50 @@ def _best(approx: np.ndarray, n: int) -> np.ndarray:
     return np.r_[over, np.flatnonzero(approx == least)[: n - len(over)]]
 
 
-def _searcher(index: Index, dim: int, k: int, rerank: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, at: np.ndarray, codes: np.ndarray, slack: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        unit = _unit(q)
-        near = unit @ index.centroids.T
-        probed = np.zeros(near.shape, dtype=bool)
-        np.put_along_axis(probed, np.argsort(-near, axis=1)[:, : index.probes], True, 1)
-        tables = np.ascontiguousarray(index.tables(unit).transpose(1, 2, 0))  # slice x code x query
-        approx = np.full((len(ids), len(q)), -np.inf, dtype=np.float32)
-        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        for lo, hi in zip(start, np.r_[start[1:], len(at)], strict=True):
-            asks = probed[:, at[lo]]
-            score = np.repeat(near[None, :, at[lo]], hi - lo, axis=0)
-            for j in range(codes.shape[1]):
-                score += tables[j][codes[lo:hi, j]]
-            approx[lo:hi] = np.where(asks, score, -np.inf)
-        norm, q_norm = np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1))
-        for i, q_id in enumerate(q_ids):
-            mine = approx[:, i].copy()
-            mine[ids == q_id] = -np.inf
-            exact = lambda rows: (v[rows] * q[i]).sum(1) / (norm[rows] * q_norm[i])  # noqa: B023, E731
-            rows = _best(mine, rerank)
-            rows = rows[mine[rows] > -np.inf]
-            score = exact(rows)
-            if len(rows) >= k:  # what may still reach the k-th
-                rows = np.union1d(rows, np.flatnonzero(mine + slack >= np.partition(score, len(score) - k)[len(score) - k]))
-                score = exact(rows)
-            top = np.lexsort((ids[rows], -score))[:k]
-            yield np.full(len(top), q_id), ids[rows[top]], score[top]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                get = lambda c, kind: np.frombuffer(batch.column(c)[r].as_buffer(), dtype=kind)  # noqa: B023, E731
-                found = list(search(
-                    get("q_ids", np.int64), get("q_vectors", np.float64).reshape(-1, dim), get("ids", np.int64), get("lists", np.int32),
-                    get("codes", np.uint8).reshape(-1, len(index.books)), get("slack", np.float32), get("vectors", np.float64).reshape(-1, dim),
-                ))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=_FOUND)
+def _cell(index: Index, best: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The `best` codes of a cell for each of its queries."""
+
+    def run(coded: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, ...]] = []
+        if coded.num_rows and asked.num_rows:
+            ids = coded.column("vec_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            codes = np.frombuffer(b"".join(coded.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
+            centre = index.centroids[coded.column("list")[0].as_py()]
+            for lo in range(0, asked.num_rows, AT_ONCE):
+                part = asked.slice(lo, AT_ONCE)
+                unit = np.frombuffer(b"".join(part.column("unit").to_pylist()), dtype=np.float32).reshape(part.num_rows, -1)
+                tables = np.ascontiguousarray(index.tables(unit).transpose(1, 2, 0))  # slice x code x query
+                score = np.repeat((unit @ centre)[None], len(ids), axis=0)
+                for j in range(codes.shape[1]):
+                    score += tables[j][codes[:, j]]
+                for i, q in enumerate(part.column("query_id").to_numpy()):
+                    mine = np.where(ids == q, np.float32(-np.inf), score[:, i])
+                    rows = _best(mine, best)
+                    rows = rows[mine[rows] > -np.inf]
+                    out.append((np.full(len(rows), q), ids[rows], mine[rows]))
+        return pa.Table.from_arrays([pa.array(np.concatenate([o[c] for o in out]) if out else [], type=f.type) for c, f in enumerate(_NEAR)], schema=_NEAR)
 
     return run
 
 
+def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (query_id, q, vec_id, v) to their exact cosines."""
+    for batch in batches:
+        if batch.num_rows:
+            (query_id, q), (vec_id, v) = _matrix(batch, "query_id", "q"), _matrix(batch, "vec_id", "v")
+            score = (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(query_id), pa.array(vec_id), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def _dealt(rows: DataFrame, parts: DataFrame, mine: str, others: str, *salt: str) -> DataFrame:
+    """rows in one part of their list, chosen by a hash, and copied to each part of the other side."""
+    own = F.pmod(F.xxhash64(*salt), F.col(mine)).cast("int")
+    copies = F.explode(F.expr(f"sequence(0, {others} - 1)"))
+    return rows.join(F.broadcast(parts), "list").withColumn(f"{mine}_no", own).withColumn(f"{others}_no", copies).drop(mine, others)
+
+
 def search(
     vectors: DataFrame, is_query: str, k: int = 5, rerank: int = 80, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
@@ -223,13 +217,20 @@ def search(
     rows = rows.where(F.size("v") == most)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()
     index = fit(_unit(_scaled(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, most))), n)
-    blocks = keep(rows.mapInArrow(_indexer(index), _BLOCK_SQL), "index")
-    groups = max(1, int(n) // (4 * BLOCK_ROWS))
-    asked = keep(rows.where(is_query).coalesce(max(1, int(n) // (200 * QUERY_ROWS))).mapInArrow(_query_packer, "q_ids binary, q_vectors binary"), "queries")
-    asked = asked.select("q_ids", "q_vectors", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    pairs = blocks.withColumn("g", F.pmod("block", F.lit(groups)).cast("int")).join(asked, "g").drop("g", "block")
-    pairs = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups))
-    found = pairs.mapInArrow(_searcher(index, int(most), k, rerank), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    codes = keep(rows.mapInArrow(_coder(index), _CODE_SQL).distinct(), "codes")
+    probes = keep(rows.where(is_query).mapInArrow(_prober(index), _PROBE_SQL), "probes")
+    in_parts = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    parts = keep(in_parts(codes, CELL_ROWS, "c").join(in_parts(probes, QUERY_ROWS, "q"), "list"), "parts")  # a row a list
+    at = ("list", "c_no", "q_no")
+    cells = _dealt(codes, parts, "c", "q", "vec_id", "code").groupBy(*at).cogroup(_dealt(probes, parts, "q", "c", "query_id", "unit").groupBy(*at))
+    near = cells.applyInArrow(_cell(index, CELL_BEST * k), "query_id long, vec_id long, approx float")
+    by_approx = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
+    near = near.withColumn("place", F.dense_rank().over(by_approx)).where(F.col("place") <= rerank).select("query_id", "vec_id")
+    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = near.join(queries, "query_id").join(rows, "vec_id").select("query_id", "q", "vec_id", "v")
+    best = found.mapInArrow(_cosines, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = keep(best.select("query_id", "rank", "vec_id", "score"), "nearest")
+    discard(spark, codes, probes, parts)
+    return out
