@@ -12,8 +12,10 @@ SOURCE_RANK = {"spotify_preview": 4, "itunes_isrc": 3, "itunes_term_search": 2,
 
 
 def filled(x: Column) -> Column:
-    """A text or number, NULL where it is '' or 0."""
-    return F.when(x.cast("string").isin("", "0"), None).otherwise(x)
+    """A text, NULL where it is ''; a number or boolean, NULL where it is 0 or false."""
+    text = x.cast("string")
+    empty = F.when(F.typeof(x) == "string", text == "").otherwise(text.rlike(r"^(-?0(\.0+)?(E.*)?|false)$"))
+    return F.when(empty, None).otherwise(x)
 
 
 def first_filled(*xs: Column) -> Column:
@@ -21,15 +23,17 @@ def first_filled(*xs: Column) -> Column:
 
 
 def int_list(x: Column) -> Column:
-    """Whole numbers of a comma-separated list; blanks and others are skipped."""
-    parts = F.transform(F.split(x, ","), lambda p: F.try_to_number(F.regexp_extract(F.trim(p), "^[0-9]{1,18}$", 0), F.lit("9" * 18)).cast("long"))
+    """Whole numbers, signed ones too, of a comma-separated list; blanks and others are skipped."""
+    parts = F.transform(F.split(x, ","), lambda p: F.regexp_extract(p, r"^\s*([+-]?[0-9]{1,18})\s*$", 1).try_cast("long"))
     return F.filter(parts, lambda p: p.isNotNull())
 
 
 def playlist_id(x: Column) -> Column:
-    """A 22-character playlist id from an address, a URI or the bare id, tried in this order."""
+    """A 22-character playlist id from an address, a URI or the bare id, tried in this order; else the first run of 22
+    in a text that names the service or has 22 characters."""
     one = lambda p: filled(F.regexp_extract(F.trim(x), p, 1))
-    return F.coalesce(one("playlist/([A-Za-z0-9]{22})"), one("playlist:([A-Za-z0-9]{22})"), one("^([A-Za-z0-9]{22})$"))
+    loose = F.when(F.contains(F.lower(x), F.lit("spotify")) | (F.length(F.trim(x)) == 22), one("([A-Za-z0-9]{22})"))
+    return F.coalesce(one("playlist/([A-Za-z0-9]{22})"), one("playlist:([A-Za-z0-9]{22})"), one("^([A-Za-z0-9]{22})$"), loose)
 
 
 def is_video_id(x: Column) -> Column:
@@ -46,8 +50,10 @@ def pairs(x: Column) -> Column:
 
 
 def epoch(x: Column) -> Column:
-    """Seconds of a stamp's first 19 characters, 0 where they don't parse."""
-    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(F.substring(x, 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))), F.lit(0)).cast("long")
+    """Seconds of a stamp's first 19 characters, with a space or a T between day and time; 0 where they don't parse."""
+    forms = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss")
+    parsed = [F.try_to_timestamp(F.substring(x, 1, 19), F.lit(form)) for form in forms]
+    return F.coalesce(F.unix_timestamp(F.coalesce(*parsed)), F.lit(0)).cast("long")
 
 
 def source_rank(x: Column) -> Column:
@@ -70,6 +76,7 @@ def preview_source(url: Column) -> Column:
 
 
 def clock(seconds: Column) -> Column:
-    """m:ss of a number of seconds."""
-    s = F.floor(seconds).cast("long")
+    """m:ss of a number of seconds; negative and non-finite ones count as 0."""
+    usable = (seconds >= 0) & ~F.isnan(seconds) & (seconds < float("inf"))
+    s = F.floor(F.when(usable, seconds).otherwise(0)).cast("long")
     return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))

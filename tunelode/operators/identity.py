@@ -49,8 +49,9 @@ def merged(grouped: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def unique_key(rows: DataFrame, key: str, id_col: str = "id") -> DataFrame:
-    """The key stays on the least id that has it and becomes NULL on the others."""
-    first = F.row_number().over(Window.partitionBy(key).orderBy(id_col)) == 1
+    """The key stays on the least id that has it and becomes NULL on the others; rows without a key aren't gathered."""
+    alone = F.when(F.col(key).isNull(), F.col(id_col))
+    first = F.row_number().over(Window.partitionBy(F.col(key), alone).orderBy(id_col)) == 1
     return rows.withColumn(key, F.when(F.col(key).isNotNull() & first, F.col(key)))
 
 
