@@ -48,6 +48,20 @@ def test_mixing_keeps_columns_of_any_name(spark):
     assert {(r.doc_id, r._size, r._tie, r["size"]) for r in out.collect()} == {(1, 77, 5, "p"), (2, 88, 6, "q")}
 
 
+def test_mixing_leaves_out_texts_without_words(spark):
+    """Empty, blank and null texts lie within the ranges that the mix takes, and leave no row."""
+    rows = [(i, ["", None, " \n", f"a{i} b c d e f g"][i % 4], "xy"[i % 3 > 0]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    out = mixing.apply_mix(docs).collect()
+    assert {r.doc_id for r in out} == {i for i, n in taken.items() if n}
+    assert all(r.doc_id % 4 == 3 and r.text.strip() for r in out)
+    words: dict[int, int] = {}
+    for r in out:
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
+    assert words == {i: n for i, n in taken.items() if n}
+
+
 def test_hot_group_of_copies_around_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 16)  # several blocks a segment
     rng = random.Random(8)

@@ -30,6 +30,7 @@ from ..session import keep
 from .words import WORD
 
 MAX_SOURCES = 200_000
+_RANGES = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
 
 def word_count(text: str | Column) -> Column:
@@ -108,7 +109,7 @@ def cut_at(upto: Column, blocks: Column, size: Column) -> Column:
     return F.floor((wide[0] * wide[1] * 2 + wide[2]) / (wide[2] * 2)).cast("long")
 
 
-def _selector(block: int, seed: int, out: pa.Schema, ranges: bool) -> Callable[[pa.Table], pa.Table]:
+def _selector(block: int, seed: int, ranges: bool, finish: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("_order", "ascending"), ("_tie", "ascending"), ("_size", "ascending")])
         sizes = rows.column("_size").to_numpy()
@@ -133,10 +134,10 @@ def _selector(block: int, seed: int, out: pa.Schema, ranges: bool) -> Callable[[
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 a, b = np.searchsorted(hi, s, side="right"), np.searchsorted(lo, e, side="left")
                 spans.append([{"from": max(int(x), s) - s, "to": min(int(y), e) - s} for x, y in zip(lo[a:b], hi[a:b], strict=True)])
-            cols |= {"passes": pa.array([passes] * len(sizes), type=pa.int32()), "ranges": pa.array(spans, type=out.field("ranges").type)}
+            cols |= {"passes": pa.array([passes] * len(sizes), type=pa.int32()), "ranges": pa.array(spans, type=_RANGES)}
         for name, col in cols.items():
             rows = rows.append_column(name, col)
-        return rows.select(out.names).cast(out)
+        return finish(rows)
 
     return run
 
@@ -154,11 +155,23 @@ def mix(
     rows; other columns, of any name but an added one's, which is an error, pass through.  Without keep_text
     the texts are measured once and left behind, so that only ids and sizes are shuffled.
     """
-    spark = docs.sparkSession
     added = ["size", "source_size", "target", "taken"] + ["passes", "ranges"] * ranges
     if clash := {*added} & {*docs.columns}:
         raise ValueError(f"columns exist: {sorted(clash)}")
     names = [c for c in docs.columns if keep_text or c != text_col] + added
+    rows, kind, select = _dealt(docs, id_col, text_col, source_col, weights, share, limit, block, shard_rows, shard_bytes, seed, ranges, keep_text)
+    return rows.groupBy("_rank", "_shard").applyInArrow(select(lambda t, to: t.select(to.names).cast(to)), kind).toDF(*names)
+
+
+def _dealt(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, limit: float, block: int,
+    shard_rows: int, shard_bytes: int, seed: int, ranges: bool, keep_text: bool,
+) -> tuple[DataFrame, T.StructType, Callable]:
+    """Rows with their shard and its quota, docs' columns being c0, c1, ...; the schema of those and the added columns; and
+    what makes a shard's function of a last step, which gets the shard's rows and that schema."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = docs.sparkSession
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column is named like one made here
     docs, id_col, text_col, source_col = docs.toDF(*at.values()), at[id_col], at[text_col], at[source_col]
     sized = docs.withColumns({"_size": word_count(text_col), "_tie": F.coalesce(F.xxhash64(text_col), F.lit(0)), "_bytes": F.coalesce(F.octet_length(text_col), F.lit(0))})
@@ -196,42 +209,41 @@ def mix(
     if ranges:
         span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
         out = T.StructType([*out.fields, T.StructField("passes", T.IntegerType()), T.StructField("ranges", T.ArrayType(span))])
-    from pyspark.sql.pandas.types import to_arrow_schema
+    kind = to_arrow_schema(out)
+    return rows, out, lambda finish: _selector(block, seed, ranges, lambda t: finish(t, kind))
 
-    return rows.groupBy("_rank", "_shard").applyInArrow(_selector(block, seed, to_arrow_schema(out), ranges), out).toDF(*names)
 
-
-def _slicer(kind: pa.Schema, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _slicer(text: str, columns: list[str]) -> Callable[[pa.Table, pa.Schema], pa.Table]:
+    """From a shard's rows with passes and ranges to the whole and cut rows that the mix holds."""
     word = re.compile(WORD)
 
     def part(t: str, spans: list[dict]) -> str:
         at = [m.span() for m in word.finditer(t)]
         return "\n".join(t[at[s["from"]][0] : at[s["to"] - 1][1]] for s in spans)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                rows = batch.slice(i, 64)
-                texts, passes, ranges = (rows.column(c).to_pylist() for c in (text, "passes", "ranges"))
-                pick = [k for k, n in enumerate(passes) for _ in range(n)]
-                some = [k for k, r in enumerate(ranges) if r]
-                new = [texts[k] for k in pick] + [part(texts[k], ranges[k]) for k in some]
-                out = pa.Table.from_batches([rows]).take(pick + some).select(kind.names)
-                out = out.set_column(kind.names.index(text), text, pa.array(new, type=pa.string())).cast(kind)
-                yield from out.to_batches()
+    def run(rows: pa.Table, kind: pa.Schema) -> pa.Table:
+        texts, taken, passes, ranges = (rows.column(c).to_pylist() for c in (text, "taken", "passes", "ranges"))
+        pick = [k for k, n in enumerate(passes) if taken[k] for _ in range(n)]
+        some = [k for k, r in enumerate(ranges) if taken[k] and r]
+        new = [texts[k] for k in pick] + [part(texts[k], ranges[k]) for k in some]
+        out = rows.select(columns).take(pick + some)
+        out = out.set_column(columns.index(text), text, pa.array(new, type=pa.string()))
+        return out.cast(pa.schema([kind.field(c) for c in columns]))
 
     return run
 
 
-def apply_mix(docs: DataFrame, text_col: str = "text", **options: object) -> DataFrame:
+def apply_mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, block: int = 32,
+    shard_rows: int = 256, shard_bytes: int = 4 << 20, seed: int = 17,
+) -> DataFrame:
     """The mixed corpus: docs as often as the mix takes them whole, and rows cut to the words it takes once more.
 
-    Columns are those of docs, of any name; a document from which nothing is taken has no row.
+    Columns are those of docs, of any name; a document from which nothing is taken has no row.  Words are drawn and
+    cut in one step, so that a task needs one Python worker.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    at = {c: f"d{i}" for i, c in enumerate(docs.columns)}
-    options = {k: at[v] if k.endswith("_col") else v for k, v in ({"id_col": "doc_id", "source_col": "source"} | options).items()}
-    plain = docs.toDF(*at.values())
-    mixed = mix(plain, text_col=at[text_col], ranges=True, **options).where("taken > 0")
-    return mixed.mapInArrow(_slicer(to_arrow_schema(plain.schema), at[text_col]), plain.schema).toDF(*at)
+    rows, kind, select = _dealt(docs, id_col, text_col, source_col, weights, share, limit, block, shard_rows, shard_bytes, seed, True, True)
+    plain = kind[: len(docs.columns)]
+    step = select(_slicer(plain.names[docs.columns.index(text_col)], plain.names))
+    return rows.groupBy("_rank", "_shard").applyInArrow(step, plain).toDF(*docs.columns)
