@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ivfpq, jaccard, langid, licenses, mixing, packing, pii, quality, sharding, toxicity
+from . import infill, ivfpq, jaccard, langid, licenses, mixing, packing, pieces, pii, quality, runs, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +121,74 @@ def op7_bilstm_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
 
 
+def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's piece ids, of the text that they decode to, and of the pieces' spans of source bytes."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = pieces.encode(_documents(spark, sf_dir), model)
+    text = F.sha2(pieces.decoded(F.col("ids"), model).cast("binary"), 256)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), text.alias("decoded_sha256"), F.sha2("spans", 256).alias("spans_sha256"))
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """docs where, in one document of ten by id, the words from a place on repeat a period; null ids stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    cut = docs.withColumns({"h": h, "words": F.when(h % 10 == 0, words)}).withColumns({"g": F.floor(F.col("h") / 10), "n": F.size("words")})
+    cut = cut.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    cut = cut.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), repeated), " ")
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs of at least 12 words: their number, the longest, and digests of all and of the collapsed text."""
+    found = runs.periodic_runs(_with_planted_runs(_documents(spark, sf_dir).select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[k].cast("string") for k in ("start", "length", "period")]), F.lit("\n"))
+    rows = found.withColumn("longest", longest)
+    length, period = F.col("longest.length"), -F.col("longest.period")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form, cuts, and digests of what it becomes and of the text rebuilt from that."""
+    made = infill.fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(back.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+_INFILL_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT *, list_transform(regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda x: length(x)) AS sizes,
+         list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::UBIGINT::BIGINT) AS k FROM d
+), f AS (
+  SELECT *, len(sizes)::BIGINT AS n,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 50 THEN 'plain'
+              WHEN k[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u
+), c AS (
+  SELECT *, coalesce(list_sum(sizes[1:least(k[1] % (n + 1), k[2] % (n + 1))]), 0)::BIGINT AS a,
+         coalesce(list_sum(sizes[1:greatest(k[1] % (n + 1), k[2] % (n + 1))]), 0)::BIGINT AS b FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || text[1:a] || '<S>' || text[b + 1:] || '<M>' || text[a + 1:b]
+              ELSE '<S>' || text[b + 1:] || '<P>' || text[1:a] || '<M>' || text[a + 1:b] END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM c
+"""
+
+
 QUERIES = {
     "op1_bin_slack_packing": op1_bin_slack_packing,
     "op2_minimax_shards": op2_minimax_shards,
@@ -132,5 +200,8 @@ QUERIES = {
     "op8_sainte_lague_mix": op8_sainte_lague_mix,
     "op9_parity_join": op9_parity_join,
     "op10_quality_ledger": op10_quality_ledger,
+    "op11_offset_pieces": op11_offset_pieces,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES = {"op3_license_sentences": licenses.oracle(), "op10_quality_ledger": _QUALITY_SQL}
+ORACLES = {"op3_license_sentences": licenses.oracle(), "op10_quality_ledger": _QUALITY_SQL, "op13_fill_in_middle": _INFILL_SQL}
