@@ -391,16 +391,35 @@ def insert_with_defaults(spark: SparkSession, sf: str) -> DataFrame:
     return changes.with_defaults(new, {"country": F.lit(0), "plan": F.lit("free")})
 
 
-@query(duck(T, f"""WITH {lib._AXES}, e AS (SELECT * FROM axes WHERE audio_path <> ''), s AS (SELECT avg(a) AS m, stddev_pop(a) AS sd FROM e)
-SELECT id, CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in scoring.FEATURES)} THEN 'kept' ELSE 'recomputed' END AS outcome, round(a, 6) AS activation, round(v, 6) AS valence, {lib._MOOD} AS mood,
- round(CASE WHEN sd <= 1e-9 THEN 50.0 ELSE least(greatest(50.0 + (a - m) / sd * 15.0, 0.0), 100.0) END, 6) AS activation_relative FROM e, s"""))
+_FULL = " AND ".join(f"{c} IS NOT NULL" for c in scoring.FEATURES)
+#: Tracks with a file.  A track whose features are complete keeps its stored scores, for which the views' vibe_score stands.
+RECOMPUTED = duck(T, f"""WITH {lib._AXES}, e AS (SELECT id, CASE WHEN {_FULL} THEN 'kept' ELSE 'recomputed' END AS outcome, CASE WHEN {_FULL} THEN vibe_score ELSE a END AS x,
+ CASE WHEN {_FULL} THEN vibe_score / 2 ELSE v END AS y, CASE WHEN {_FULL} THEN 'stored' ELSE {lib._MOOD} END AS mood FROM axes WHERE audio_path <> ''),
+s AS (SELECT avg(x) AS m, stddev_pop(x) AS sd FROM e)
+SELECT id, outcome, round(x, 6) AS activation, round(y, 6) AS valence, mood,
+ round(CASE WHEN x IS NULL THEN NULL WHEN sd <= 1e-9 THEN 50.0 ELSE least(greatest(50.0 + (x - m) / sd * 15.0, 0.0), 100.0) END, 6) AS activation_relative FROM e, s""")
+
+
+def stored_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks with a file, their features and the scores that they have."""
+    half = F.col("vibe_score") / 2
+    rows = read(spark, sf, T).where("audio_path <> ''")
+    return rows.select("id", *scoring.FEATURES, F.col("vibe_score").alias("activation"), half.alias("valence"), F.lit("stored").alias("mood"))
+
+
+def rescored(rows: DataFrame) -> DataFrame:
+    """rows with scores and label from their features."""
+    a, v = scoring.activation(), scoring.valence()
+    return rows.withColumns({"activation": a, "valence": v}).withColumn("mood", scoring.mood(F.col("activation"), F.col("valence")))
+
+
+@query(RECOMPUTED)
 def recompute_job(spark: SparkSession, sf: str) -> DataFrame:
     """Tracks with a file: what is incomplete is scored and labelled again, then all are set against the library."""
-    rows = lib.axes(spark, sf).where("audio_path <> ''")
-    done = F.when(_complete(), "kept").otherwise("recomputed")
-    scored = rows.select("id", done.alias("outcome"), "a", "v", scoring.mood(F.col("a"), F.col("v")).alias("mood"))
-    out = scoring.standardised(scored, "a", "activation_relative", 1)
-    return out.select("id", "outcome", F.round("a", 6).alias("activation"), F.round("v", 6).alias("valence"), "mood", F.round("activation_relative", 6).alias("activation_relative"))
+    rows = stored_scores(spark, sf).withColumn("outcome", F.when(_complete(), "kept").otherwise("recomputed"))
+    out = rows.where("outcome = 'kept'").unionByName(rescored(rows.where("outcome = 'recomputed'")))
+    out = scoring.standardised(out, "activation", "activation_relative", 1)
+    return out.select("id", "outcome", *[F.round(c, 6).alias(c) for c in ("activation", "valence", "activation_relative")], "mood")
 
 
 @query(_recursive("""SELECT group_id, n_records, coalesce(users, 0) AS users FROM (SELECT group_id, count(*) AS n_records FROM t GROUP BY 1) LEFT JOIN
