@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import entities, jobs, library, media, versions  # noqa: F401 - each registers its queries
+    from . import entities, jobs, library, media, paged, versions  # noqa: F401 - each registers its queries
 
 
 def queries() -> dict[str, Query]:
