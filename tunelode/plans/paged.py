@@ -45,13 +45,13 @@ def _playlists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations),
 p AS (SELECT conv_id, count(*) AS total, row_number() OVER (PARTITION BY conv_id % 3 ORDER BY conv_id) - 1 AS place FROM conversations GROUP BY conv_id)
-SELECT conv_id % 3 AS user_id, 'playlist' AS source, place, place // 2 AS page, conv_id || '-' || turn AS item_id, 'Turn ' || turn AS title, role AS artist, length(text)::BIGINT AS duration_ms, NULL::BIGINT AS total
+SELECT conv_id % 3 AS user_id, 'playlist' AS source, place, place // 4 AS page, conv_id || '-' || turn AS item_id, 'Turn ' || turn AS title, role AS artist, length(text)::BIGINT AS duration_ms, NULL::BIGINT AS total
 FROM t WHERE place < 7 AND role <> 'system' AND turn % 5 <> 4
 UNION ALL SELECT conv_id % 3, 'playlists', place, place // 50, conv_id::VARCHAR, 'List ' || conv_id, NULL, NULL, total FROM p WHERE place < 200""")
 def paged_library(spark: SparkSession, sf: str) -> DataFrame:
     """Every user's list of playlists, at most 200, and the first 7 items of every playlist, by the paged source."""
     root = f"{shared_dir(spark)}/tunelode/{uuid.uuid4().hex}"
-    write_pages(_items(spark, sf), f"{root}/lists", 2)
+    write_pages(_items(spark, sf), f"{root}/lists", 4)
     write_pages(_playlists(spark, sf), f"{root}/users", 50)
     c = read(spark, sf, "conversations").select("conv_id", (F.col("conv_id") % 3).alias("user_id")).distinct()
     lists = c.select(F.concat(F.lit("lists/pages/listing=c"), "conv_id", F.lit("/page=0")).alias("url"), F.lit("playlist").alias("kind"), F.lit("playlist").alias("source"), "user_id", F.lit(7).alias("max_items"))
