@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import writeback
+from ..operators import migration, writeback
 from ..session import shared_dir
 from ..sources.store import Store
 from ..sources.views import duck, read
-from . import jobs
+from . import entities, jobs
 from . import library as lib
 from .registry import query
 
@@ -125,3 +125,40 @@ def predict_resumed(spark: SparkSession, sf: str) -> DataFrame:
     for stop in (1, None):
         writeback.run_job(store, "tracks", "predict v1", due, predict, stop_after=stop, outcomes=outcomes)
     return store.read("tracks").select("id", F.round("vibe_score_ml", 6).alias("vibe_score_ml"), "model_version")
+
+
+# Migration by batches
+
+_MERGED = ["spotify_id", "apple_id", "preview_url"]
+
+
+def migrated(spark: SparkSession, sf: str) -> Store:
+    """All tracks in two batches, of which the second joins what the first left apart; a tenth of the records belongs to no user."""
+    store, tracks = new_store(spark), read(spark, sf, T)
+    user = F.when(F.col("id") % 10 > 0, F.col("id") * 7 % 90)
+    rows = tracks.select("id", user.alias("user_id"), *_MERGED, "isrc", "title", "artist", "album", "audio_path", "classification_source", "created_at")
+    types = dict(rows.dtypes)
+    migration.create(store, _MERGED, types, buckets=4)
+    for part in ("id % 3 = 2", "id % 3 <> 2"):
+        migration.add(store, rows.where(part), _MERGED)
+    return store
+
+
+_NUMBERED = f"""n AS (SELECT *, CASE WHEN id % 10 > 0 THEN id * 7 % 90 END AS user_id, row_number() OVER o AS place, first_value(audio_path) OVER o AS own FROM t
+ WINDOW o AS (PARTITION BY group_id ORDER BY {entities._RANK} DESC, {entities._EPOCH} DESC, id))"""
+_first = lambda c: f"arg_min(CASE WHEN {c}::VARCHAR <> '' THEN {c} END, CASE WHEN {c}::VARCHAR <> '' THEN place END) AS {c}"
+_CLASH = "count(*) FILTER (place > 1 AND audio_path <> '' AND own <> '' AND audio_path <> own) AS conflicts"
+
+
+@query(entities._recursive(f""", {_NUMBERED} SELECT group_id AS id, arg_min(id, place) AS canonical_id, count(*) AS n_records,
+ {', '.join(map(_first, _MERGED))}, {_CLASH} FROM n GROUP BY group_id"""))
+def migration_by_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The merged tracks after two batches, the second merged into what the first left."""
+    return migration.tracks(migrated(spark, sf), _MERGED)
+
+
+@query(entities._recursive(f""", {_NUMBERED} SELECT (SELECT count(*) FROM t) AS old_rows, (SELECT count(DISTINCT group_id) FROM t) AS new_tracks, (SELECT count(*) - count(DISTINCT group_id) FROM t) AS saved,
+ (SELECT count(user_id) FROM n) AS links_attempted, (SELECT count(*) FROM (SELECT DISTINCT user_id, group_id FROM n WHERE user_id IS NOT NULL)) AS links_inserted, (SELECT {_CLASH} FROM n) AS conflicts"""))
+def migration_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What the migration by batches says of itself, links asked for and links made among it."""
+    return migration.summary(migrated(spark, sf))
