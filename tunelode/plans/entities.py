@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import identity, library, manifest
+from ..operators import containment, identity, library, manifest
 from ..sources.views import duck, read
 from .registry import query
 
@@ -166,6 +166,26 @@ def _best(wanted: DataFrame, candidates: DataFrame, on: str) -> DataFrame:
     return library.first_of(rows, "wanted", F.col("tier"), F.col("pos")).select("wanted", "pos", "tier")
 
 
+_HELD = """w AS (SELECT p_partkey AS wanted, lower(split_part(p_name, ' ', 2)) AS title, lower(p_brand) AS artist FROM part),
+c AS (SELECT p_partkey AS pos, lower(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' live' ELSE '' END) AS title, lower(p_brand || CASE WHEN p_partkey % 2 = 0 THEN ' & friends' ELSE '' END) AS artist FROM part WHERE p_partkey % 4 > 0)"""
+
+
+@query(f"""WITH {_HELD}, m AS (SELECT wanted, pos, CASE WHEN c.title = w.title AND c.artist = w.artist THEN 1 ELSE 2 END AS tier FROM w JOIN c ON contains(c.title, w.title) AND contains(c.artist, w.artist) WHERE w.title <> '' AND w.artist <> '')
+SELECT wanted, count(*) AS n_holding, min(tier) AS tier, arg_min(pos, tier * 1000000000000 + pos) AS pos FROM m GROUP BY wanted""")
+def containment_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """For every track, how many candidates with a preview hold its title and artist, and the best of them: exact, then first."""
+    p, key = read(spark, sf, "part"), F.col("p_partkey")
+    w = p.select(key.alias("wanted"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("title"), F.lower("p_brand").alias("artist"))
+    c = p.where(key % 4 > 0).select(
+        key.alias("pos"), F.lower(F.concat("p_name", F.when(key % 3 == 0, " live").otherwise(""))).alias("title"), F.lower(F.concat("p_brand", F.when(key % 2 == 0, " & friends").otherwise(""))).alias("artist")
+    )
+    texts = c.groupBy(F.col("title").alias("t_title"), F.col("artist").alias("t_artist")).agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    tier = F.when((F.col("t_title") == F.col("w_title")) & (F.col("t_artist") == F.col("w_artist")), 1).otherwise(2)
+    met = containment.containing(w, c, ["title", "artist"]).join(texts, ["t_title", "t_artist"]).withColumn("tier", tier)
+    best = met.groupBy("w_title", "w_artist").agg(F.sum("n").alias("n_holding"), F.min("tier").alias("tier"), F.min_by("pos", F.struct("tier", "pos")).alias("pos"))
+    return w.join(best, (F.col("title") == F.col("w_title")) & (F.col("artist") == F.col("w_artist"))).select("wanted", "n_holding", "tier", "pos")
+
+
 @query(duck(T, """WITH w AS (SELECT id, isrc, title, artist FROM v_tracks WHERE id % 5 = 1), i AS (SELECT isrc, min(id) AS hit FROM v_tracks WHERE isrc IS NOT NULL AND id % 5 <> 1 GROUP BY isrc),
 s AS (SELECT lower(title) AS lt, lower(artist) AS la, min(id) AS hit FROM v_tracks WHERE id % 5 <> 1 GROUP BY 1, 2)
 SELECT w.id, coalesce(i.hit, s.hit) AS hit, CASE WHEN i.hit IS NOT NULL THEN 'itunes_isrc' WHEN s.hit IS NOT NULL THEN 'itunes_term_search' ELSE 'none' END AS source FROM w LEFT JOIN i ON i.isrc = w.isrc LEFT JOIN s ON lt = lower(title) AND la = lower(artist)"""))
