@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import containment, identity, library, manifest
+from ..operators import containment, identity, ladder, library, manifest
+from ..session import shared_dir, ship
+from ..sources import files, listing
 from ..sources.views import duck, read
 from .registry import query
 
@@ -206,3 +210,44 @@ def eligible_first_candidate(spark: SparkSession, sf: str) -> DataFrame:
     flag = F.nullif(F.col("event_id") % 5, F.lit(0))
     rows = read(spark, sf, "events").where((F.col("event_type") != "error") & F.coalesce(flag != 1, F.lit(True))).withColumn("step", F.col("event_id") % 6)
     return library.first_of(rows, "user_id", F.col("step"), F.col("event_id")).select("user_id", F.col("event_id").alias("candidate"), "step")
+
+
+_CATALOGUE = "SELECT p_partkey AS cat, 'IS' || cast(p_partkey * 2 % 3800 AS VARCHAR) AS isrc, lower(p_name) AS title, lower(p_brand) AS artist FROM part WHERE p_partkey % 9 = 0"
+
+
+@query(duck(T, f"""WITH c AS ({_CATALOGUE}), i AS (SELECT isrc, min(cat) AS hit FROM c GROUP BY 1), s AS (SELECT title, artist, min(cat) AS hit FROM c GROUP BY 1, 2)
+SELECT id, CASE WHEN spotify_id <> '' THEN spotify_id ELSE coalesce(i.hit, s.hit)::VARCHAR END AS hit,
+ CASE WHEN spotify_id <> '' THEN 'already' WHEN i.hit IS NOT NULL THEN 'isrc' WHEN s.hit IS NOT NULL THEN 'title_artist' ELSE 'missed' END AS outcome
+FROM v_tracks t LEFT JOIN i ON i.isrc = t.isrc LEFT JOIN s ON s.title = lower(t.title) AND s.artist = lower(t.artist)"""))
+def match_external_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Outer ids for the tracks that lack one: by recording code, and what that leaves by title and artist."""
+    p = read(spark, sf, "part").where("p_partkey % 9 = 0")
+    code = F.concat(F.lit("IS"), (F.col("p_partkey") * 2 % 3800).cast("string"))
+    catalogue = p.select(F.col("p_partkey").alias("cat"), code.alias("c_isrc"), F.lower("p_name").alias("c_title"), F.lower("p_brand").alias("c_artist"))
+    by_code = catalogue.groupBy("c_isrc").agg(F.min("cat").alias("hit"))
+    by_name = catalogue.groupBy("c_title", "c_artist").agg(F.min("cat").alias("hit"))
+    steps = [
+        ("isrc", lambda left: left.join(by_code, F.col("isrc") == F.col("c_isrc")).select("id", "hit")),
+        ("title_artist", lambda left: left.join(by_name, (F.lower("title") == F.col("c_title")) & (F.lower("artist") == F.col("c_artist"))).select("id", "hit")),
+    ]
+    tracks = read(spark, sf, T).select("id", "spotify_id", "isrc", "title", "artist")
+    return ladder.climb(tracks, steps, already=text.filled(F.col("spotify_id"))).rows
+
+
+@query(duck(M, f"""SELECT coalesce(l.track_id, f.track_id) AS track_id, CASE WHEN f.track_id IS NOT NULL THEN 'ok' ELSE status END AS status, f.track_id IS NOT NULL AND coalesce(status <> 'ok', true) AS from_file
+FROM {_LATEST} l FULL JOIN (SELECT c_custkey AS track_id FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 1) f ON f.track_id = l.track_id"""))
+def manifest_reconciled_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The log against files that are really there: tasks write them, of 10,000 and 10,001 bytes in folders by key, and list them."""
+    ship(spark)
+    root = f"{shared_dir(spark)}/tunelode/{uuid.uuid4().hex}/previews"
+
+    def write(pdfs):  # noqa: ANN001, ANN202 - batches of keys
+        for pdf in pdfs:
+            for key in pdf.c_custkey:
+                listing.write_bytes(f"{root}/{key % 7}/{key}.mp3", bytes(10_000 + key % 2))
+            yield pdf
+
+    made = read(spark, sf, "customer").where("c_custkey % 3 = 0").select("c_custkey")
+    made.mapInPandas(write, "c_custkey long").write.format("noop").mode("overwrite").save()
+    there = files.downloaded(files.list_tree(spark, root)).select(F.col("track_id").cast("long").alias("track_id"))
+    return manifest.reconciled(read(spark, sf, M), there)

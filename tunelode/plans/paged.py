@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import shared_dir
+from ..session import shared_dir, ship
 from ..sources import paged
 from ..sources.views import read
 from .registry import query
@@ -50,6 +50,7 @@ FROM t WHERE place < 7 AND role <> 'system' AND turn % 5 <> 4
 UNION ALL SELECT conv_id % 3, 'playlists', place, place // 50, conv_id::VARCHAR, 'List ' || conv_id, NULL, NULL, total FROM p WHERE place < 200""")
 def paged_library(spark: SparkSession, sf: str) -> DataFrame:
     """Every user's list of playlists, at most 200, and the first 7 items of every playlist, by the paged source."""
+    ship(spark)
     root = f"{shared_dir(spark)}/tunelode/{uuid.uuid4().hex}"
     write_pages(_items(spark, sf), f"{root}/lists", 4)
     write_pages(_playlists(spark, sf), f"{root}/users", 50)

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..operators import migration, writeback
 from ..session import shared_dir
+from ..sources import layout
 from ..sources.store import Store
 from ..sources.views import duck, read
+from ..streaming import compaction
 from . import entities, jobs
 from . import library as lib
 from .registry import query
@@ -162,3 +164,28 @@ def migration_by_batches(spark: SparkSession, sf: str) -> DataFrame:
 def migration_report(spark: SparkSession, sf: str) -> DataFrame:
     """What the migration by batches says of itself, links asked for and links made among it."""
     return migration.summary(migrated(spark, sf))
+
+
+# Streams into a store
+
+@query(duck("v_manifest", "SELECT track_id, arg_max(status, line_no) AS status, max(line_no) AS line_no, arg_max(bytes, line_no) AS bytes FROM v_manifest GROUP BY track_id"))
+def manifest_compacted_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The log as a stream of four files, not in their order, kept down to its latest rows in a store."""
+    store = new_store(spark)
+    log = read(spark, sf, "v_manifest")
+    root = store.root.rsplit("/", 1)[0]
+    log.repartition(4, F.col("line_no") % 4).write.parquet(f"{root}/log")
+    store.apply(lambda c: c.create("manifest", spark.createDataFrame([], log.schema), ["track_id"], buckets=4))
+    rows = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
+    compaction.compact(rows, store, "manifest", f"{root}/checkpoint").awaitTermination()
+    return store.read("manifest").select("track_id", "status", "line_no", "bytes")
+
+
+# Layout
+
+@query(duck("v_tracks v_user_tracks", "SELECT id, title, count(*) AS listeners FROM v_tracks JOIN v_user_tracks ON track_id = id GROUP BY id, title"))
+def listeners_by_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """How many users have each track, over tables bucketed by track: joined and counted without an exchange."""
+    prefix = f"t{uuid.uuid4().hex}"
+    layout.write_library(read(spark, sf, T).select("id", "title", "spotify_id", "apple_id"), read(spark, sf, "v_user_tracks"), f"{shared_dir(spark)}/tunelode/{prefix}", prefix, buckets=8)
+    return layout.with_listeners(spark, prefix).groupBy("id", "title").agg(F.count("*").alias("listeners"))

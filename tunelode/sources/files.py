@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import keep
+
 MANIFEST = "track_id string, status string, preview_url string, bytes long, attempted_at string"
 
 
@@ -37,6 +39,31 @@ def list_files(spark: SparkSession, path: str, pattern: str, least: int = 10_000
     return files.where(F.col("length") > least).select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("track_id"), "length")
 
 
+def list_tree(spark: SparkSession, *roots: str, tasks: int = 64) -> DataFrame:
+    """(path, name, length) of all files under some folders, by names and lengths alone.
+
+    Folders are listed by tasks, a level of the tree at a time, so the driver holds neither files nor folders; the file
+    systems are those that Arrow knows.  A folder that isn't there has no files.
+    """
+    from .listing import ENTRY, entries
+
+    level = spark.createDataFrame([(r,) for r in roots], "path string")
+    files = None
+    while True:
+        seen = keep(level.repartition(tasks, "path").mapInPandas(entries, ENTRY), "listing")
+        here = seen.where("NOT is_folder").select("path", "name", "length")
+        files = here if files is None else files.unionByName(here)
+        level = seen.where("is_folder").select("path")
+        if level.isEmpty():
+            return files
+
+
+def downloaded(files: DataFrame, suffix: str = ".mp3", least: int = 10_000) -> DataFrame:
+    """(track_id, length) of listed files with a suffix and more than `least` bytes."""
+    some = files.where(F.col("name").endswith(suffix) & (F.col("length") > least))
+    return some.select(F.expr(f"substr(name, 1, length(name) - {len(suffix)})").alias("track_id"), "length")
+
+
 def read_tracks_json(spark: SparkSession, path: str) -> DataFrame:
     """Nested track documents, flattened by first elements; local items and items without an id go."""
     item = "struct<id:string,name:string,artists:array<struct<name:string>>,album:struct<name:string,images:array<struct<url:string>>>,duration_ms:bigint,external_ids:struct<isrc:string>,preview_url:string,is_local:boolean>"

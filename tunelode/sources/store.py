@@ -157,11 +157,15 @@ class Store:
     def begin(self) -> Change:
         return Change(self)
 
-    def apply(self, change: Callable[[Change], None], attempts: int = 5) -> int:
-        """Make a change and publish it, anew on the latest version where another writer came first; the version."""
+    def apply(self, change: Callable[[Change], object], attempts: int = 5) -> int:
+        """Make a change and publish it, anew on the latest version where another writer came first; the version.
+
+        A change that returns False has nothing to publish.
+        """
         for left in range(attempts, 0, -1):
             new = self.begin()
-            change(new)
+            if change(new) is False:
+                return new.parent
             try:
                 return new.commit()
             except StaleParent:
