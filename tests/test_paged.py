@@ -91,6 +91,19 @@ def test_broken_pages_end_their_listing(spark, tmp_path, page):
     assert found(load(spark, tmp_path, max_items=4)) == [("bad", i, f"t{i}", f"Track {i}") for i in range(4)] + [("good", 0, "t1", "Track 1"), ("good", 1, "t2", "Track 2")]
 
 
+def test_pages_in_a_bundle(spark, tmp_path):
+    lines = [{"key": f"a:{k}", "items": [item(2 * k), item(2 * k + 1)], "next": f"#a:{k + 1}" if k < 2 else None} for k in range(3)] + [{"key": "b:0", "items": [item(9)], "next": "#b:1"}]
+    folder = tmp_path / "some"
+    folder.mkdir()
+    for k in range(2):
+        (folder / f"part-{k}").write_text("".join(json.dumps(x) + "\n" for x in lines[2 * k : 2 * k + 2]))
+    (folder / "_SUCCESS").write_text("")
+    (tmp_path / "index").write_text("\n".join(json.dumps({"url": f"some#{n}:0", "kind": "playlist", "source": n}) for n in "ab"))
+    got = load(spark, tmp_path, mode="PERMISSIVE", listings=9).collect()
+    assert sorted((r.source, r.place, r.item_id) for r in got if not r.error) == [("a", k, f"t{k}") for k in range(6)] + [("b", 0, "t9")]
+    assert [(r.source, "b:1" in r.error) for r in got if r.error] == [("b", True)]
+
+
 def test_no_listings(spark, tmp_path):
     (tmp_path / "index").write_text("")
     assert load(spark, tmp_path).count() == 0
@@ -102,3 +115,4 @@ def test_addresses():
     assert paged.resolved("file:///a/b/p0", "../c/p1") == "file:///a/c/p1"
     assert paged.resolved("hdfs://n:1/a/b/p0", "p1") == "hdfs://n:1/a/b/p1"
     assert paged.resolved("hdfs://n:1/a/b/p0", "s3://x/y") == "s3://x/y"
+    assert paged.resolved("file:///a/b#x:0", "#x:1") == "file:///a/b#x:1" and paged.resolved("/a/b#x", "c#y") == "/a/c#y"

@@ -20,10 +20,10 @@ def test_lists_stamps_and_ids(spark):
 
 
 def test_byte_ranges(spark):
-    heads = ["bytes=0-9", "bytes=90-", "bytes=-200", "bytes=-0", "bytes=-", "bytes=100-", "bytes=5-100", "bytes=9-5", None]
+    heads = ["bytes=0-9", "bytes=90-", "bytes=-200", "bytes=-0", "bytes=-", "bytes=100-", "bytes=5-100", "bytes=9-5", None, "bytes=99999999999999999999-5", "bytes=-99999999999999999999", "bytes=5-99999999999999999999", "bytes=0000000000000000000005-7", "bytes=--5"]
     rows = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, h string")
     got = [r.r and tuple(r.r) for r in rows.orderBy("i").select(client.byte_range(F.col("h"), F.lit(100)).alias("r")).collect()]
-    assert got == [(0, 10), (90, 10), (0, 100), None, None, None, None, None, None]
+    assert got == [(0, 10), (90, 10), (0, 100), None, None, None, None, None, None, None, (0, 100), None, (5, 3), None]
 
 
 def test_percents_and_labels(spark):

@@ -57,3 +57,18 @@ def peak_normalised(x: Column) -> Column:
     """Divided by the largest magnitude, where that isn't 0."""
     peak = max_abs(x)
     return F.when(peak > 0, F.transform(x, lambda v: v / peak)).otherwise(x)
+
+
+def dataset_item(x: Column, least: int, most: int, crop: int, gain_db: Column | float = 0.0) -> Column:
+    """A training item of a signal: NULL where it is shorter than `least`; else its first `most` numbers, the middle `crop` of
+    them or all and zeros, times a gain in decibels, and divided by the largest magnitude where that is over 1."""
+    gain = F.pow(F.lit(10.0), (F.lit(gain_db) if isinstance(gain_db, (int, float)) else gain_db) / 20.0)
+    cut = F.transform(crop_or_pad(F.slice(x, 1, most), crop), lambda v: v * gain)
+    peak = max_abs(cut, 1.0)
+    return F.when(F.size(x) >= least, F.transform(cut, lambda v: v / peak))
+
+
+def seeded_gain(id_col: Column, seed: str, db: float) -> Column:
+    """A gain in decibels between -db and db that looks random and is the same on every run."""
+    part = F.conv(F.substring(F.md5(F.concat(id_col.cast("string"), F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("double")
+    return (part / float(0xFFFFFFFF) * 2 - 1) * db

@@ -83,7 +83,9 @@ def expiry(ms: Column) -> Column:
 def byte_range(header: Column, size: Column) -> Column:
     """(start, length) of a 'bytes=a-b', 'bytes=a-' or 'bytes=-n' header over a file; NULL where it can't be served."""
     form = r"^bytes=([0-9]*)-([0-9]*)$"
-    a, b = (F.regexp_extract(F.trim(header), form, i).try_cast("long") for i in (1, 2))
+    digits = [F.regexp_extract(F.trim(header), form, i) for i in (1, 2)]
+    # a number of more than 18 digits is beyond any file; one that isn't there is NULL
+    a, b = (F.when(F.length(F.ltrim(d, F.lit("0"))) > 18, 10**18).when(d != "", d.try_cast("long")) for d in digits)
     start = F.when(a.isNotNull(), a).when(b > 0, F.greatest(F.lit(0), size - b))
     end = F.when(a.isNotNull() & b.isNotNull(), b).otherwise(size - 1)
     served = (start < size) & (end < size) & (start <= end)

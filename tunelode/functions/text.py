@@ -80,3 +80,22 @@ def clock(seconds: Column) -> Column:
     usable = (seconds >= 0) & ~F.isnan(seconds) & (seconds < float("inf"))
     s = F.floor(F.when(usable, seconds).otherwise(0)).cast("long")
     return F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+
+
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]*)$", 1)
+
+
+def file_stem(path: Column) -> Column:
+    """A file's name without its last suffix; a leading dot starts no suffix."""
+    return F.regexp_replace(file_name(path), r"(?<=[^.])\.[^./]+$", "")
+
+
+def file_suffix(path: Column) -> Column:
+    """A file's last suffix with its dot, in lower case; '' where there is none."""
+    return F.lower(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1))
+
+
+def audio_target(id_col: Column, path: Column) -> Column:
+    """Where a track's new file goes, with the suffix of the one it has."""
+    return F.concat(F.lit("audio/"), id_col.cast("string"), F.coalesce(filled(file_suffix(path)), F.lit(".mp3")))

@@ -29,5 +29,5 @@ def reconciled(log: DataFrame, files: DataFrame, key: str = "track_id") -> DataF
 
 
 def compacted(log: DataFrame, key: str = "track_id") -> DataFrame:
-    """The log with only its latest rows, written whole beside the old one before anyone reads it."""
-    return keep(latest(log, key), "manifest")
+    """The log with only its latest rows, in the order of their keys, written whole beside the old one before anyone reads it."""
+    return keep(latest(log, key).orderBy(key), "manifest")

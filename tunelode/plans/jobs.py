@@ -456,3 +456,51 @@ def vector_json_values(spark: SparkSession, sf: str) -> DataFrame:
     back = F.from_json(F.to_json(F.col("embedding").cast("array<double>")), "array<double>")
     total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
     return read(spark, sf, "embeddings").select("vec_id", back.alias("v")).select("vec_id", F.round(total, 4).alias("total"), F.size("v").alias("n"), F.round(F.col("v")[2], 5).alias("third"))
+
+
+#: The columns of the table before users and tracks were told apart, in their order, with the types of those that the views lack.
+LEGACY = {
+    "id": "", "user_id": "long", "spotify_id": "", "apple_id": "", "isrc": "", "title": "", "artist": "", "album": "", "genre": "string", "artwork_url": "string", "preview_url": "",
+    "track_view_url": "string", "duration_ms": "long", "tempo": "", "energy": "", "brightness": "", "zcr": "double", "mfcc_json": "string", "tempo_stability": "", "onset_rate": "",
+    "energy_mean": "", "energy_std": "", "bandwidth": "double", "rolloff": "double", "spectral_contrast": "", "flatness": "", "timbre_variability": "double", "valence_mode": "",
+    "tonnetz_std": "double", "acousticness": "", "chroma_mean_json": "string", "activation": "double", "valence": "double", "activation_relative": "double", "vibe_score": "",
+    "mood": "string", "audio_path": "", "classification_source": "", "created_at": "",
+}
+_DUCK = {"string": "VARCHAR", "long": "BIGINT", "double": "DOUBLE"}
+
+
+@query(duck(T, "SELECT " + ", ".join(f"NULL::{_DUCK[t]} AS {c}" if t else c for c, t in LEGACY.items()) + " FROM v_tracks"))
+def legacy_scan_full(spark: SparkSession, sf: str) -> DataFrame:
+    """All columns of the old table; what a table lacks is NULL."""
+    return changes.with_columns(read(spark, sf, T), {c: t for c, t in LEGACY.items() if t}).select(*LEGACY)
+
+
+@query(duck(T, "SELECT " + ", ".join(c for c, t in LEGACY.items() if not t) + " FROM v_tracks"))
+def legacy_common_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """A rebuilt table takes over only the columns that the old one has."""
+    return changes.common_columns(read(spark, sf, T), list(LEGACY))
+
+
+@query(duck(T, """SELECT id, regexp_extract(audio_path, '([^/]*)$', 1) AS name, regexp_extract(audio_path, '([^/]*?)(\\.[^./]*)?$', 1) AS stem, lower(regexp_extract(audio_path, '[^/.](\\.[^./]+)$', 1)) AS suffix,
+ 'audio/' || id || coalesce(nullif(lower(regexp_extract(audio_path, '[^/.](\\.[^./]+)$', 1)), ''), '.mp3') AS target FROM v_tracks"""))
+def audio_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Name, stem and suffix of each track's file, and the path that a new one gets."""
+    path = F.col("audio_path")
+    return read(spark, sf, T).select(
+        "id", text.file_name(path).alias("name"), text.file_stem(path).alias("stem"), text.file_suffix(path).alias("suffix"), text.audio_target(F.col("id"), path).alias("target")
+    )
+
+
+@query(duck(T, "SELECT id, audio_path FROM v_tracks WHERE audio_path IS NOT NULL AND (energy_pred IS NULL OR model_version IS NULL OR model_version <> 'v1') ORDER BY id LIMIT 100"))
+def pending_capped(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 100 tracks that wait for a prediction: a cap on a job's work."""
+    due = F.col("energy_pred").isNull() | ~F.col("model_version").eqNullSafe(F.lit("v1"))
+    return read(spark, sf, T).where(F.col("audio_path").isNotNull() & due).select("id", "audio_path").orderBy("id").limit(100)
+
+
+@query(duck(M, "SELECT track_id, arg_max(status, line_no) AS status, row_number() OVER (ORDER BY track_id) AS place FROM v_manifest GROUP BY track_id"))
+def manifest_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """The compacted log with its keys in order and each one's place there."""
+    from ..operators import evaluation, manifest
+
+    return evaluation.numbered(manifest.latest(read(spark, sf, M)), "track_id").select("track_id", "status", F.col("place").cast("long").alias("place"))

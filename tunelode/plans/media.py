@@ -105,6 +105,23 @@ def _cropped(vectors: DataFrame, padded: int) -> DataFrame:
     return vectors.select("vec_id", F.round(arrays.total(arrays.crop_or_pad(c, 4)), 6).alias("middle"), F.size(arrays.crop_or_pad(c, padded)).alias("padded"), F.round(arrays.total(arrays.peak_normalised(c)), 5).alias("normalised"))
 
 
+_ITEM = """WITH x AS (SELECT vec_id, list_transform(embedding[1:20 + vec_id % 45], lambda v: v::DOUBLE * 5) AS x,
+ pow(10.0, (('0x' || substr(md5(vec_id || 'g'), 1, 8))::UBIGINT::DOUBLE / 4294967295.0 * 2 - 1) * 6 / 20.0) AS gain FROM embeddings),
+c AS (SELECT vec_id, list_transform(CASE WHEN n >= 32 THEN y[(n - 32) // 2 + 1:(n - 32) // 2 + 32] ELSE y || list_transform(range(32 - n), lambda i: 0.0::DOUBLE) END, lambda v: v * gain) AS y
+ FROM (SELECT *, x[1:48] AS y, least(len(x), 48) AS n FROM x WHERE len(x) >= 25))
+SELECT vec_id, len(y) AS n, round(list_sum(list_transform(y, lambda v: v / greatest(list_max(list_transform(y, lambda w: abs(w))), 1.0))), 5) AS total,
+ round(y[1] / greatest(list_max(list_transform(y, lambda w: abs(w))), 1.0), 5) AS first FROM c"""
+
+
+@query(_ITEM)
+def dataset_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Training items of signals of 20 to 64 numbers: short ones skipped, capped, cropped or padded, with gain, within -1 to 1."""
+    rows = read(spark, sf, "embeddings").withColumn("x", F.transform(F.expr("slice(embedding, 1, cast(20 + vec_id % 45 AS int))"), lambda v: v.cast("double") * 5))
+    item = arrays.dataset_item(F.col("x"), 25, 48, 32, arrays.seeded_gain(F.col("vec_id"), "g", 6.0))
+    got = rows.select("vec_id", item.alias("y")).where("y IS NOT NULL")
+    return got.select("vec_id", F.size("y").alias("n"), F.round(arrays.total(F.col("y")), 5).alias("total"), F.round(F.col("y")[0], 5).alias("first"))
+
+
 @query(f"SELECT vec_id, len({_V}) AS n, label > 4 AS high FROM embeddings")
 def vector_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors to JSON text and back; bad text is an empty vector."""

@@ -4,25 +4,31 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import shared_dir, ship
+from ..session import keep, shared_dir, ship
 from ..sources import paged
 from ..sources.views import read
 from .registry import query
 
 
-def write_pages(rows: DataFrame, root: str, page_size: int) -> None:
-    """Pages of rows (listing, place, item): a folder a page, under its listing, that names the next."""
+def _address(listing: Column, page: Column, buckets: int) -> Column:
+    return F.concat(F.lit("pages/bucket="), F.pmod(F.hash(listing), F.lit(buckets)), F.lit("#"), listing, F.lit(":"), page)
+
+
+def write_pages(rows: DataFrame, root: str, page_size: int, buckets: int) -> None:
+    """Pages of rows (listing, place, item) in bundles, each page naming the next."""
     page = F.floor(F.col("place") / page_size)
     made = rows.groupBy("listing", page.alias("page")).agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("rows"))
     last = F.lead("page").over(Window.partitionBy("listing").orderBy("page")).isNull()
-    following = F.when(~last, F.concat(F.lit("page="), (F.col("page") + 1).cast("string")))
+    name = lambda k: F.concat("listing", F.lit(":"), (F.col("page") + k).cast("string"))
+    following = F.when(last, "null").otherwise(F.concat(F.lit('"#'), name(1), F.lit('"')))
     items = F.array_join(F.transform("rows", lambda r: r["item"]), ",")
-    body = F.concat(F.lit('{"items":['), items, F.lit("],"), F.lit('"next":'), F.coalesce(F.concat(F.lit('"'), following, F.lit('"')), F.lit("null")), F.lit("}"))
-    made.select("listing", "page", body.alias("value")).write.partitionBy("listing", "page").text(f"{root}/pages")
+    line = F.concat(F.lit('{"key":"'), name(0), F.lit('","items":['), items, F.lit('],"next":'), following, F.lit("}"))
+    lines = made.select(F.pmod(F.hash("listing"), F.lit(buckets)).alias("bucket"), line.alias("value"))
+    lines.hint("rebalance", "bucket").write.partitionBy("bucket").text(f"{root}/pages")
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,12 +58,13 @@ def paged_library(spark: SparkSession, sf: str) -> DataFrame:
     """Every user's list of playlists, at most 200, and the first 7 items of every playlist, by the paged source."""
     ship(spark)
     root = f"{shared_dir(spark)}/tunelode/{uuid.uuid4().hex}"
-    write_pages(_items(spark, sf), f"{root}/lists", 4)
-    write_pages(_playlists(spark, sf), f"{root}/users", 50)
-    c = read(spark, sf, "conversations").select("conv_id", (F.col("conv_id") % 3).alias("user_id")).distinct()
-    lists = c.select(F.concat(F.lit("lists/pages/listing=c"), "conv_id", F.lit("/page=0")).alias("url"), F.lit("playlist").alias("kind"), F.lit("playlist").alias("source"), "user_id", F.lit(7).alias("max_items"))
-    users = c.select("user_id").distinct().select(F.concat(F.lit("users/pages/listing=u"), "user_id", F.lit("/page=0")).alias("url"), F.lit("playlists").alias("kind"), F.lit("playlists").alias("source"), "user_id", F.lit(None).cast("int").alias("max_items"))
-    lists.union(users).write.json(f"{root}/index")
+    c = keep(read(spark, sf, "conversations").select("conv_id", (F.col("conv_id") % 3).alias("user_id")).distinct(), "listings")
+    buckets = 1 + c.count() // 500
+    write_pages(_items(spark, sf), f"{root}/lists", 4, buckets)
+    write_pages(_playlists(spark, sf), f"{root}/users", 50, 1)
+    lists = c.select(F.concat(F.lit("lists/"), _address(F.concat(F.lit("c"), "conv_id"), F.lit("0"), buckets)).alias("url"), F.lit("playlist").alias("kind"), F.lit("playlist").alias("source"), "user_id", F.lit(7).alias("max_items"))
+    users = c.select("user_id").distinct().select(F.concat(F.lit("users/"), _address(F.concat(F.lit("u"), "user_id"), F.lit("0"), 1)).alias("url"), F.lit("playlists").alias("kind"), F.lit("playlists").alias("source"), "user_id", F.lit(None).cast("int").alias("max_items"))
+    lists.union(users).orderBy("url").write.json(f"{root}/index")
     spark.dataSource.register(paged.PagedLibrary)
-    found = spark.read.format("paged_library").option("path", root).option("listings", 32).load()
+    found = spark.read.format("paged_library").option("path", root).option("listings", 250).load()
     return found.select("user_id", "source", "place", F.col("page").cast("long").alias("page"), "item_id", "title", "artist", "duration_ms", "total")

@@ -18,9 +18,12 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """An append-only CSV log with line_no, which rises with the rows' place in a file and the files' names."""
+    """An append-only CSV log with line_no, which rises with the files' times, their names and the rows' places in a file.
+
+    Files that are appended have random names, so their times tell which came later.
+    """
     raw = spark.read.option("header", True).schema(MANIFEST).csv(path)
-    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     return raw.select("*", place.alias("line_no"))
 
 

@@ -2,7 +2,8 @@
 
 A listing is followed from its first page by `next` until there is none, or until the listing's cap of items, counted as
 they come, wrong ones too.  That is one page after the other by nature, so tasks take whole listings.  A page is a JSON
-object in a file, or in a folder whose files together are its text; `next` may be relative to its page.
+object in a file, or in a folder whose files together are its text; `next` may be relative to its page.  Many small pages
+can be lines of one such text, a bundle: `bundle#name` is the line whose `key` is the name.
 
     spark.dataSource.register(PagedLibrary)
     spark.read.format("paged_library").option("path", folder).load()
@@ -23,13 +24,16 @@ from __future__ import annotations
 import json
 import posixpath
 from collections.abc import Iterator
-from urllib.parse import urljoin, urlsplit
+from functools import lru_cache
+from urllib.parse import urldefrag, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from .listing import place
+
 #: The most playlists that are read of a user.
 CAPS = {"playlists": 200}
 KINDS = ("liked", "top", "playlist", "playlists")
@@ -48,7 +52,7 @@ def read_text(url: str) -> str:
     """A file, or all files of a folder by name, from any file system that Arrow knows; a bare path is a local one."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(url) if urlsplit(url).scheme else (fs.LocalFileSystem(), url)
+    system, path = place(url)
     info = system.get_file_info(path)
     if info.type == fs.FileType.Directory:
         files = sorted(i.path for i in system.get_file_info(fs.FileSelector(path)) if i.is_file and not i.base_name.startswith(("_", ".")))
@@ -63,6 +67,12 @@ def read_text(url: str) -> str:
 
 def resolved(base: str, url: str) -> str:
     """url as seen from a page; file systems that urllib has no rule for are joined like paths."""
+    url, name = urldefrag(url)
+    base = urldefrag(base).url
+    return (_joined(base, url) if url else base) + (f"#{name}" if name else "")
+
+
+def _joined(base: str, url: str) -> str:
     if urlsplit(url).scheme or url.startswith("/") and not urlsplit(base).scheme:
         return url
     parts = urlsplit(base)
@@ -71,10 +81,17 @@ def resolved(base: str, url: str) -> str:
     return parts._replace(path=urlsplit(urljoin(f"file://{parts.path}", url)).path).geturl()
 
 
+@lru_cache(maxsize=1)  # listings of a bundle are read one after the other
+def bundle(url: str) -> dict[str, dict]:
+    """The pages of a bundle by their keys."""
+    return {page["key"]: page for page in map(json.loads, read_text(url).splitlines())}
+
+
 def page_of(url: str) -> dict:
+    whole, name = urldefrag(url)
     try:
-        page = json.loads(read_text(url))
-    except (OSError, ValueError) as e:
+        page = bundle(whole)[name] if name else json.loads(read_text(whole))
+    except (OSError, ValueError, KeyError, TypeError) as e:
         raise BrokenPage(f"{url}: {type(e).__name__}: {e}") from e
     if not isinstance(page, dict):
         raise BrokenPage(f"{url}: no JSON object")
@@ -180,6 +197,7 @@ class _Reader(DataSourceReader):
         return [_Listings(found[i : i + self.each]) for i in range(0, len(found), self.each)] or [_Listings([])]
 
     def read(self, partition: _Listings) -> Iterator[tuple]:
+        bundle.cache_clear()  # a worker outlives its tasks, and a bundle may be written anew
         for listing in partition.listings:
             yield from rows(listing, self.mode)
 
@@ -189,6 +207,7 @@ def follow(listings: DataFrame, mode: str = "FAILFAST", batch: int = 1000) -> Da
     names = [f.name for f in StructType.fromDDL(SCHEMA)]
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bundle.cache_clear()
         for pdf in pdfs:
             out: list[tuple] = []
             for listing in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
