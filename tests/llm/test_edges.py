@@ -77,6 +77,43 @@ def test_hot_group_of_copies_around_the_threshold(spark, monkeypatch):
     assert got == want and 2 < len({c for _, c in want.values()})
 
 
+def pages(n, own):
+    """n pages of one template of 120 words, each with some words of its own; every fifth page shares most of them with the one before."""
+    rng = random.Random(9)
+    template, rows, mine = [f"t{k}" for k in range(120)], [], []
+    for i in range(n):
+        if i % 5 != 4:
+            mine = [f"p{i}w{k}" for k in range(rng.choice(own))]
+        texts = mine if i % 5 != 4 else [*mine[:-2], f"p{i}"]
+        rows.append((i, " ".join([*template[:60], *texts, *template[60:]])))
+    return rows
+
+
+@pytest.mark.parametrize("own", [(30,), (8, 12, 15, 20, 26, 33, 45)])
+def test_template_pages_equal_brute_force(spark, monkeypatch, own):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rows = pages(160, own)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert got == want and len({c for _, c in want.values()}) > 2
+
+
+def test_template_pages_are_never_all_paired(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rarest, counts = jaccard.rarest, []
+
+    def counted(nodes, sets, done):
+        out = rarest(nodes, sets, done)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "rarest", counted)
+    n = 900
+    found = jaccard.near_components(spark.createDataFrame(pages(n, (16, 20, 24, 28, 40)), "doc_id long, text string"))
+    assert found.select("component_id").distinct().count() > n // 2
+    assert len(counts) == 1 and counts[0] <= 50 * n
+
+
 def test_one_id_with_two_texts_and_repeated_rows(spark):
     one, two = "a b c d e f g h i j", "k l m n o p q r s t"
     rows = [(5, one), (2, one), (5, two), (5, two), (7, two), (None, two), (8, None), (8, "")]

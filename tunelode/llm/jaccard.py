@@ -14,9 +14,10 @@ is at most the sets' symmetric difference.  Two uses:
 
 Links are only needed to join documents that are not joined yet.  The first rounds verify, for each segment, neighbours
 in document order (a chain, not all pairs).  The last takes the segments that still hold three or more documents of
-several components: their members are dealt into blocks of BLOCK, the dense sketches of two blocks meet in one task,
-and only pairs across components that the sketches don't rule out leave it, to be verified.  So no task holds a hot
-segment, no join pairs its members, and the components are exact whatever the first rounds found.
+several components.  Up to BLOCK members meet in one task, where their dense sketches are compared.  The members of all
+larger segments (template pages) meet by their rarest shingles instead (`rarest`), as pages that share only what all share
+can't link.  Only pairs across components that the sketches don't rule out are verified.  So no task holds a hot segment,
+no join pairs its members, and the components are exact whatever the first rounds found.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -37,8 +38,8 @@ from .words import encoded, give_back
 
 #: Rows of at most 32 bytes that are sent to every executor at once, at most (8 MB); above it the texts are joined by a shuffle.
 BROADCAST_ROWS = 250_000
-#: Members of a block of a segment, about; bytes of a sketch that go there, at most (longer ones are folded); and of a
-#: member's other segments the LOWEST keys, by which most pairs are seen to meet elsewhere too.
+#: Members of a segment that meet in one task, at most; bytes of a sketch that go there, at most (longer ones are folded);
+#: and of a member's other segments the LOWEST keys, by which most pairs are seen to meet elsewhere too.
 BLOCK, CARRIED, LOWEST = 512, 256, 16
 #: Of the sample that tells common shingles.
 SAMPLE_DOCS, COMMON_IN, MOST_COMMON = 6_000, 4, 200_000
@@ -139,8 +140,8 @@ def segment_keys(s: np.ndarray, common: np.ndarray = _NONE) -> np.ndarray:
 
 
 def dense_sketch(s: np.ndarray) -> bytes:
-    """Parity bits of a set at the low bits of its hashes; 256 bits or the set's size rounded down to a power of 2."""
-    bits = max(256, 1 << (max(len(s), 1).bit_length() - 1))
+    """Parity bits of a set at the low bits of its hashes; 256 bits or twice the set's size rounded down to a power of 2."""
+    bits = max(256, 1 << max(len(s), 1).bit_length())
     odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -306,9 +307,9 @@ def _joined(found: DataFrame, links: DataFrame, done: list[DataFrame]) -> DataFr
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, part, v, c, n, carried, lowest), sorted by key, i and j, to the pairs (a, b) of different components
-    whose sketches don't rule a link out: between the blocks i and j of a key, or within i where they are equal.  A pair
-    that is seen to share a lower key is left to that."""
+    """Rows (key, i, j, left, right, v, c, n, carried, lowest), sorted by key, i and j, to the pairs (a, b) of different
+    components whose sketches don't rule a link out, between the left and the right rows of each (key, i, j).  A pair that
+    is seen to share a lower key is left to that."""
     held: list[tuple] = []
     found: set[tuple[int, int]] = set()
     for batch in batches:
@@ -337,51 +338,101 @@ def _folded(sketch: bytes, size: int) -> np.ndarray:
 
 
 def _block_pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-    i, j = rows[0][1:3]
-    if all(r[5] == rows[0][5] for r in rows):
+    if all(r[6] == rows[0][6] for r in rows):
         return []
-    size = min(len(r[7]) for r in rows) // 8
-    x = np.stack([_folded(r[7], size) for r in rows])
-    part, v, c, n = (np.array([r[k] for r in rows]) for k in (3, 4, 5, 6))
-    key, lower = rows[0][0], [frozenset(r[8]) for r in rows]
+    size = min(len(r[8]) for r in rows) // 8
+    x = np.stack([_folded(r[8], size) for r in rows])
+    v, c, n = (np.array([r[k] for r in rows]) for k in (5, 6, 7))
+    key, lower = rows[0][0], [frozenset(r[9]) for r in rows]
     out: list[tuple[int, int]] = []
-    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    left, right = (np.flatnonzero([r[k] for r in rows]) for k in (3, 4))
     for at in range(0, len(left), 64):
         a = left[at : at + 64, None]
         ok = (c[a] != c[right]) & (5 * np.minimum(n[a], n[right]) >= 4 * np.maximum(n[a], n[right]))
-        if i == j:
+        if len(left) == len(right) == len(rows):
             ok &= a < right
         p, q = np.nonzero(ok)
         p, q = a[p, 0], right[q]
         near = 9 * np.bitwise_count(x[p] ^ x[q]).sum(1, dtype=np.int64) <= n[p] + n[q]
         for x1, x2 in zip(p[near].tolist(), q[near].tolist(), strict=True):
             if min(lower[x1] & lower[x2], default=key) >= key:
-                out.append((min(rows[x1][4], rows[x2][4]), max(rows[x1][4], rows[x2][4])))
+                out.append((min(v[x1], v[x2]), max(v[x1], v[x2])))
     return out
 
 
+def _met(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """What `_blocked` finds in rows (key, i, j, left, right, v, c, lowest)."""
+    rows = rows.join(sets.select(F.col("node").alias("v"), "n", "carried"), "v")
+    rows = rows.select("key", "i", "j", "left", "right", "v", "c", "n", "carried", "lowest")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocked, "a long, b long")
+
+
+def _band(n: Column | str) -> Column:
+    """Bands of sizes, five to six of them between 4/5 of a size and the size."""
+    return F.floor(24 * F.log(n)).cast("int")
+
+
+def rarest(nodes: DataFrame, sets: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """Where nodes (v, c) may meet by their rarest shingles: rows (key, i, j, left, right, v, c, lowest) for `_met`.
+
+    Shingles stand by how many of the nodes hold them, then by hash.  Where A and B link, all but (5|A| - 4|B|) / 9 of A
+    are in B, so the first shingle that both hold stands no later than that in A, and no later than (5|B| - 4|A|) / 9 in B.
+    So each set is found under its first ninth, in the band of its size, and looks under its first fifth, at each place in
+    the bands of the smaller sizes that the place allows.  Shingles of one node keep their places but give no rows: sets
+    of which a ninth is their own are found by none that only shares the rest.
+    """
+    held = sets.withColumnRenamed("node", "v").join(nodes.select("v"), "v").select("v", "n", F.explode("s").alias("g"))
+    often = keep(held.groupBy("g").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    order = F.array_sort(F.collect_list(F.struct("often", "g")))
+    ranked = held.join(often, "g").groupBy("v", "n").agg(order.alias("r")).withColumn("own", F.col("n") - F.size("r"))
+    first = F.slice("r", F.lit(1), F.greatest(F.lit(0), F.floor(F.col("n") / 5) + 1 - F.col("own")).cast("int"))
+    placed = ranked.select("v", "n", "own", F.posexplode(first).alias("at", "x")).select("v", "n", F.col("x.g").alias("g"), (F.col("own") + F.col("at")).alias("at"))
+    placed = keep(placed.join(nodes, "v"), "placed")
+    largest = F.least("n", F.floor((5 * F.col("n") - 9 * F.col("at")) / 4))
+    bands = F.sequence(_band(F.ceil(4 * F.col("n") / 5)), _band(largest))
+    looks = placed.where(largest >= F.ceil(4 * F.col("n") / 5)).select("g", F.explode(bands).alias("band"), "v", "c", F.lit(False).alias("left"))
+    found = placed.where("9 * at <= n").select("g", _band("n").alias("band"), "v", "c", F.lit(True).alias("left"))
+    rows = looks.union(found)
+    stats = rows.groupBy("g", "band").agg(
+        F.count_if("left").alias("lefts"), F.count_if(~F.col("left")).alias("rights"), F.min("c").alias("lo"), F.max("c").alias("hi")
+    )
+    both = keep(stats.where("lefts > 0 AND rights > 0 AND lo < hi").drop("lo", "hi"), "both")
+    done += [often, placed, both]
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
+    rows = rows.join(both, ["g", "band"]).withColumns({"is": blocks("lefts"), "js": blocks("rights")})
+    mine = F.pmod(F.xxhash64("v"), F.when(F.col("left"), F.col("is")).otherwise(F.col("js"))).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("js")).otherwise(F.col("is")) - 1)))
+    i, j = (F.when(F.col("left") == side, F.col("mine")).otherwise(F.col("other")) for side in (True, False))
+    key = F.xxhash64("g", "band")
+    return rows.select(key.alias("key"), i.alias("i"), j.alias("j"), "left", (~F.col("left")).alias("right"), "v", "c", F.array().cast("array<long>").alias("lowest"))
+
+
 def _across(chains: DataFrame, found: DataFrame, sets: DataFrame, done: list[DataFrame]) -> DataFrame:
     """Pairs of different components under one key that the sketches don't rule out.
 
-    A key of two members has none but the pair that was verified as neighbours, so it is left out.
+    A key of two members has none but the pair that was verified as neighbours, so it is left out.  Up to BLOCK members
+    meet in one task; those of larger keys meet by their rarest shingles.
     """
     tagged = _of(found, chains)
     member = tagged.select("key", F.col("a").alias("v"), F.col("ca").alias("c")).union(tagged.select("key", "b", "cb")).distinct()
     size = member.groupBy("key").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    mixed = keep(size.where("size > 2 AND lo < hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")), "mixed")
+    mixed = keep(size.where("size > 2 AND lo < hi").select("key", (F.col("size") > BLOCK).alias("hot")), "mixed")
     done.append(mixed)
     inside = chains.join(mixed, "key")
-    member = inside.select("key", "parts", F.col("a").alias("v")).union(inside.select("key", "parts", "b")).distinct()
+    member = inside.select("key", "hot", F.col("a").alias("v")).union(inside.select("key", "hot", "b")).distinct()
     member = keep(member, "members")
     done.append(member)
-    lowest = member.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LOWEST).alias("lowest"))
-    member = member.join(lowest, "v").join(found.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").join(
-        sets.select(F.col("node").alias("v"), "n", "carried"), "v"
-    )
-    part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
-    dealt = member.withColumn("part", part).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "v", F.coalesce("c", "v").alias("c"), "n", "carried", "lowest")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocked, "a long, b long").distinct()
+    lowest = member.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LOWEST).alias("lowest"), F.max("hot").alias("hot"))
+    lowest = lowest.join(found.select(F.col("node").alias("v"), F.col("component").alias("c")), "v", "left").withColumn("c", F.coalesce("c", "v"))
+    lowest = keep(lowest, "lowest")
+    done.append(lowest)
+    one = F.lit(0)
+    few = member.where(~F.col("hot")).select("key", "v").join(lowest.select("v", "c", "lowest"), "v")
+    pairs = _met(few.select("key", one.alias("i"), one.alias("j"), F.lit(True).alias("left"), F.lit(True).alias("right"), "v", "c", "lowest"), sets)
+    nodes = lowest.where("hot").select("v", "c")
+    if nodes.head(1):
+        pairs = pairs.union(_met(rarest(nodes, sets, done), sets))
+    return pairs.distinct()
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
