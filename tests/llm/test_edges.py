@@ -98,22 +98,6 @@ def test_template_pages_equal_brute_force(spark, monkeypatch, own):
     assert got == want and len({c for _, c in want.values()}) > 2
 
 
-def test_template_pages_are_never_all_paired(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 16)
-    rarest, counts = jaccard.rarest, []
-
-    def counted(nodes, sets, done):
-        out = rarest(nodes, sets, done)
-        counts.append(out.count())
-        return out
-
-    monkeypatch.setattr(jaccard, "rarest", counted)
-    n = 900
-    found = jaccard.near_components(spark.createDataFrame(pages(n, (16, 20, 24, 28, 40)), "doc_id long, text string"))
-    assert found.select("component_id").distinct().count() > n // 2
-    assert len(counts) == 1 and counts[0] <= 50 * n
-
-
 def test_one_id_with_two_texts_and_repeated_rows(spark):
     one, two = "a b c d e f g h i j", "k l m n o p q r s t"
     rows = [(5, one), (2, one), (5, two), (5, two), (7, two), (None, two), (8, None), (8, "")]
