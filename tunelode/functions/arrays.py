@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,13 +61,18 @@ def peak_normalised(x: Column) -> Column:
     return F.when(peak > 0, F.transform(x, lambda v: v / peak)).otherwise(x)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row, and not once for each number of a lambda over it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def dataset_item(x: Column, least: int, most: int, crop: int, gain_db: Column | float = 0.0) -> Column:
     """A training item of a signal: NULL where it is shorter than `least`; else its first `most` numbers, the middle `crop` of
     them or all and zeros, times a gain in decibels, and divided by the largest magnitude where that is over 1."""
     gain = F.pow(F.lit(10.0), (F.lit(gain_db) if isinstance(gain_db, (int, float)) else gain_db) / 20.0)
-    cut = F.transform(crop_or_pad(F.slice(x, 1, most), crop), lambda v: v * gain)
-    peak = max_abs(cut, 1.0)
-    return F.when(F.size(x) >= least, F.transform(cut, lambda v: v / peak))
+    cut = _let(gain, lambda g: F.transform(crop_or_pad(F.slice(x, 1, most), crop), lambda v: v * g))
+    item = _let(cut, lambda c: _let(max_abs(c, 1.0), lambda peak: F.transform(c, lambda v: v / peak)))
+    return F.when(F.size(x) >= least, item)
 
 
 def seeded_gain(id_col: Column, seed: str, db: float) -> Column:
