@@ -30,6 +30,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from ..session import discard, keep
@@ -226,19 +227,47 @@ def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node), sorted, to (key, a, b) for neighbours under one key; holds one batch and one row."""
-    last_key, last_node = None, None
+    """Rows (key, node), sorted, to (key, a, b) for neighbours under one key; holds one batch and one row.
+
+    A range's first row comes as (key, a) and its last as (key, b) with the number of its part, for `_met`.
+    """
+    part, last_key, last_node = TaskContext.get().partitionId(), None, None
+
+    def rows(key: np.ndarray, a: np.ndarray | None, b: np.ndarray | None, part: int | None = None) -> pa.RecordBatch:
+        columns = [pa.nulls(len(key), pa.int64()) if x is None else pa.array(x) for x in (key, a, b)]
+        number = pa.repeat(pa.scalar(part, pa.int32()), len(key))
+        return pa.RecordBatch.from_arrays([*columns, number], names=["key", "a", "b", "part"])
+
     for batch in batches:
         key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(key):
             continue
-        if last_key is not None:
+        if last_key is None:
+            yield rows(key[:1], node[:1], None, part)
+        else:
             key, node = np.r_[last_key, key], np.r_[last_node, node]
         same = (key[1:] == key[:-1]) & (node[1:] != node[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[1:][same]), pa.array(node[:-1][same]), pa.array(node[1:][same])], names=["key", "a", "b"]
-        )
+        yield rows(key[1:][same], node[:-1][same], node[1:][same])
         last_key, last_node = key[-1], node[-1]
+    if last_key is not None:
+        yield rows(np.array([last_key]), None, np.array([last_node]), part)
+
+
+def _met(keyed: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """(key, a, b) for neighbours under one key of rows (key, node).
+
+    Rows are dealt by ranges of key and node, so a hot key is as many ranges as it fills; neighbours on two sides of a
+    border come from one row a range.
+    """
+    cut = keyed.repartitionByRange("key", "nth").sortWithinPartitions("key", "nth")
+    met = keep(cut.mapInArrow(_chains, "key long, a long, b long, part int"), "met")
+    done.append(met)
+    ends = met.where("part IS NOT NULL").groupBy("part").agg(
+        F.max(F.when(F.col("a").isNotNull(), F.struct("key", "a"))).alias("first"), F.max(F.when(F.col("b").isNotNull(), F.struct("key", "b"))).alias("last")
+    )
+    following = ends.withColumn("next", F.lead("first").over(Window.orderBy("part")))
+    borders = following.where("last.key = next.key AND last.b <> next.a").select("last.key", F.col("last.b").alias("a"), F.col("next.a").alias("b"))
+    return met.where("part IS NULL").select("key", "a", "b").union(borders)
 
 
 def _near(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -401,8 +430,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = keep(docs.mapInArrow(_sketched(common_shingles(docs)), _ROW_SQL), "sketched")
     rows = full.select("doc_id", "n_shingles", "d1", "d2")
     new_sets = full.where("nth IS NOT NULL")
-    keyed = new_sets.select(F.explode("keys").alias("key"), "nth").repartition("key").sortWithinPartitions("key", "nth")
-    met = keep(keyed.mapInArrow(_chains, "key long, a long, b long"), "met")
+    met = _met(new_sets.select(F.explode("keys").alias("key"), "nth"), done)
     named = full.where("n_shingles > 0 AND doc_id IS NOT NULL")
     least = keep(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("nth").alias("node")), "least")
     copies = new_sets.select("nth", "d1", "d2").join(least, ["d1", "d2"]).where("node < nth").select(F.col("nth").alias("node"), F.col("node").alias("component"))
@@ -413,7 +441,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = keep(least.join(some, "node").select(F.col("first").alias("doc_id"), "node", "d1", "d2"), "wanted")
     texts = docs.join(_sent(wanted), "doc_id").select("text", "node", "d1", "d2")
     sets = keep(texts.mapInArrow(_sets, _SET_SQL), "sets")
-    done += [full, met, least, copies, chains, pairs, wanted, sets]
+    done += [full, least, copies, chains, pairs, wanted, sets]
     if sets.count() > wanted.count():  # rows repeated as a whole
         sets = keep(sets.dropDuplicates(["node"]), "sets")
         done.append(sets)
