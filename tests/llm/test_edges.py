@@ -41,6 +41,50 @@ def test_small_sources_come_near_their_target(spark):
         assert all(r.taken <= 2 * r["size"] for r in mine)
 
 
+def test_a_small_source_leaves_other_sources_blocks_alone(spark):
+    """Every source's quota is of blocks of its own length, and its draw of stretches of that length."""
+    assert [mixing.block_length(x, 32) for x in (10_000, 128, 127, 63, 4, 3, 0)] == [32, 32, 16, 8, 1, 1, 1]
+    assert mixing.apportioned([6400.0, 3200.0, 10.0], [32, 32, 2]) == [200, 100, 5]
+    assert [mixing.words_of(*x) for x in ((4, 32, 100.0), (3, 32, 100.0), (4, 32, 128.0), (0, 1, 0.2), (2, 1, 2.0))] == [100, 96, 128, 0, 2]
+    big = [(i, "word " * 100, s) for s in "ab" for i in range(200)]
+    taken = []
+    for small in ([], [(900, "one two three", "c")]):
+        docs = spark.createDataFrame(big + small, "doc_id long, text string, source string")
+        rows = mixing.mix(docs, weights=(1, 5, 1), ranges=True).where("source = 'a'").collect()
+        ends = sum(r.taken for r in rows)
+        assert abs(ends - rows[0].target) <= 32
+        once = [x.to - x["from"] for r in rows for x in r.ranges]
+        assert sum(once) + sum(r.passes * r["size"] for r in rows) == ends
+        assert max(once) >= 32
+        taken.append(ends)
+    assert abs(taken[0] - taken[1]) <= 32
+
+
+def test_neighbours_across_borders_of_ranges(spark):
+    """One hot key over many ranges, copies of rows, and keys of one node give a plain loop's neighbours."""
+    rng = random.Random(4)
+    rows = [(7, i) for i in range(5000)] + [(rng.randrange(-300, 300), rng.randrange(10**6)) for _ in range(3000)]
+    rng.shuffle(rows)
+    rows += rows[:50]
+    want = {}
+    for key, node in set(rows):
+        want.setdefault(key, []).append(node)
+    want = {(k, a, b) for k, v in want.items() for a, b in zip(sorted(v), sorted(v)[1:], strict=False)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for parts in ("1", "16"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            done = []
+            got = jaccard._met(spark.createDataFrame(rows, "key long, nth long").repartition(3), done).collect()
+            assert {tuple(r) for r in got} == want and len(got) == len(want)
+            assert done[0].where("part IS NOT NULL").select("part").distinct().count() == (1 if parts == "1" else 16)
+            assert jaccard._met(spark.createDataFrame([], "key long, nth long"), done).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_mixing_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b c " * 30, "x", 77, 5, "p"), (2, "d e f " * 30, "y", 88, 6, "q")], "doc_id long, text string, source string, _size int, _tie int, size string")
     out = mixing.apply_mix(docs)

@@ -1,13 +1,14 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 1. Targets: each source's share of the mix by weight, capped at `limit` times its size, the excess reshared.
-2. Equal blocks of words go to the sources by highest quotients target / (2 s + 1), s being the blocks a source has:
-   an integer quota for each source.  A block has `block` words, or fewer where a source's target is under four blocks.
+2. Equal blocks of `block` words go to the sources by highest quotients target / (2 s + 1), s being the blocks a
+   source has: an integer quota for each source.  A source whose target is under four blocks has its block halved until
+   it is not; sources with blocks of one length share theirs among themselves.  A source's last block ends at its target.
 3. A source's documents are dealt by a hash to shards of about `shard_rows` rows and `shard_bytes` of text, whichever
    are more; its quota is cut along the shards' cumulated sizes and rounded there, so the shards' integer quotas add
    up to it.
 4. Within a shard the documents stand in a seeded order as one stream of words; whole passes come first, then the
-   quota's rest is drawn by a seeded permutation of stretches of `block` words, the last of them in part.
+   quota's rest is drawn by a seeded permutation of stretches of the source's block, the last of them in part.
 
 The driver holds one row a source (at most MAX_SOURCES, else an error).  A shard is one task's group; rows of one id
 and one text fall into one shard.
@@ -16,6 +17,7 @@ and one text fall into one shard.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -87,6 +89,30 @@ def sainte_lague(votes: list[float], seats: int) -> list[int]:
     return got
 
 
+def block_length(target: float, block: int) -> int:
+    """`block`, halved while a target has less than four of it."""
+    while block > 1 and 4 * block > target:
+        block //= 2
+    return block
+
+
+def apportioned(goal: list[float], lengths: list[int]) -> list[int]:
+    """Blocks of each source; those with blocks of one length are apportioned together, the last block begun counts."""
+    out = [0] * len(goal)
+    for length in set(lengths):
+        same = [i for i, x in enumerate(lengths) if x == length]
+        votes = [goal[i] for i in same]
+        for i, n in zip(same, sainte_lague(votes, math.ceil(sum(votes) / length - 1e-9)), strict=True):
+            out[i] = n
+    return out
+
+
+def words_of(blocks: int, length: int, target: float) -> int:
+    """Words of a source's blocks, the last one being cut where the target lies within it."""
+    words = round(target)
+    return words if (blocks - 1) * length < words < blocks * length else blocks * length
+
+
 def draw(sizes: np.ndarray, quota: int, block: int, rng: np.random.Generator) -> tuple[int, np.ndarray]:
     """(whole passes, words taken from the start of each stretch of `block` words) for a quota of words over a stream of
     documents of these sizes; at most two passes in all."""
@@ -109,12 +135,12 @@ def cut_at(upto: Column, blocks: Column, size: Column) -> Column:
     return F.floor((wide[0] * wide[1] * 2 + wide[2]) / (wide[2] * 2)).cast("long")
 
 
-def _selector(block: int, seed: int, ranges: bool, finish: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+def _selector(seed: int, ranges: bool, finish: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("_order", "ascending"), ("_tie", "ascending"), ("_size", "ascending")])
         sizes = rows.column("_size").to_numpy()
         first = rows.slice(0, 1).to_pylist()[0]
-        rng = np.random.default_rng([seed, first["_rank"], first["_shard"]])
+        rng, block = np.random.default_rng([seed, first["_rank"], first["_shard"]]), first["_block"]
         passes, taken = draw(sizes, first["_quota"], block, rng)
         before = np.r_[0, np.cumsum(taken)]
         ends = np.cumsum(sizes)
@@ -184,11 +210,11 @@ def _dealt(
     found.sort(key=lambda r: (r.s is None, r.s or ""))
     sizes = [int(r.n) for r in found]
     goal = targets(sizes, [float(weights[i % len(weights)]) for i in range(len(found))], share, limit)
-    unit = max(1, min(block, int(min((x for x in goal if x > 0), default=block) / 4)))
-    quotas = sainte_lague(goal, round(sum(goal) / unit))
+    lengths = [block_length(x, block) for x in goal]
+    quotas = apportioned(goal, lengths)
     plan = spark.createDataFrame(
-        [(r.s, i, sizes[i], goal[i], quotas[i], max(-(-r.rows // shard_rows), -(-r.bytes // shard_bytes))) for i, r in enumerate(found)],
-        "_s string, _rank int, source_size long, target double, _all long, _shards long",
+        [(r.s, i, sizes[i], goal[i], lengths[i], quotas[i], words_of(quotas[i], lengths[i], goal[i]), max(-(-r.rows // shard_rows), -(-r.bytes // shard_bytes))) for i, r in enumerate(found)],
+        "_s string, _rank int, source_size long, target double, _block long, _all long, _words long, _shards long",
     )
     h = F.xxhash64(F.col(id_col), F.col("_tie"), F.lit(seed))
     dealt = sized.join(F.broadcast(plan), F.col(source_col).cast("string").eqNullSafe(F.col("_s"))).withColumns({
@@ -196,11 +222,11 @@ def _dealt(
     })
     order = Window.partitionBy("_rank").orderBy("_shard").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.sum("n").over(order)
-    cut = lambda x: cut_at(x, F.col("_all"), F.col("source_size"))
+    cut = lambda x: F.least(cut_at(x, F.col("_all"), F.col("source_size")) * F.col("_block"), F.col("_words"))
     shard_quota = keep(
-        dealt.groupBy("_rank", "_shard", "_all", "source_size").agg(F.sum("_size").alias("n"))
+        dealt.groupBy("_rank", "_shard", "_block", "_all", "_words", "source_size").agg(F.sum("_size").alias("n"))
         .withColumn("_hi", upto).where("source_size > 0")
-        .select(F.col("_rank").alias("_r"), F.col("_shard").alias("_c"), ((cut(F.col("_hi")) - cut(F.col("_hi") - F.col("n"))) * unit).alias("_quota")),
+        .select(F.col("_rank").alias("_r"), F.col("_shard").alias("_c"), (cut(F.col("_hi")) - cut(F.col("_hi") - F.col("n"))).alias("_quota")),
         "quotas",
     )
     rows = dealt.join(shard_quota, (F.col("_rank") == F.col("_r")) & (F.col("_shard") == F.col("_c")), "left")
@@ -210,7 +236,7 @@ def _dealt(
         span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
         out = T.StructType([*out.fields, T.StructField("passes", T.IntegerType()), T.StructField("ranges", T.ArrayType(span))])
     kind = to_arrow_schema(out)
-    return rows, out, lambda finish: _selector(block, seed, ranges, lambda t: finish(t, kind))
+    return rows, out, lambda finish: _selector(seed, ranges, lambda t: finish(t, kind))
 
 
 def _slicer(text: str, columns: list[str]) -> Callable[[pa.Table, pa.Schema], pa.Table]:
