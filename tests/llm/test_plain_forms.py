@@ -3,12 +3,13 @@
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 import zstandard
 
-from tunelode.llm import langid, toxicity
+from tunelode.llm import langid, queries, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = [(9001, None, "en"), (9002, "", "en"), (9003, "12 ?!", "de"), (9004, "Ünïcode ÉÉ ñ " * 3000, "fr"), (9005, "naïve\x0bwörds", None)]
@@ -117,3 +118,22 @@ def test_toxicity_counts_and_no_labels(spark):
     assert got == {"bad": 2, "words": 2, "word*": 2, "words*": 2}
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score < 0.1 for r in toxicity.score(docs, model).collect()} == {True} and model.trees == []
+
+
+def test_dictionaries_are_shared_by_excerpts_from_hashed_places(spark):
+    data = b" ".join(b"word%d" % i for i in range(3000))
+    cut = langid.excerpt(data)
+    assert len(cut) == langid.EXCERPT and cut in data and not data.startswith(cut) and data[data.index(cut) - 1 :][:1] == b" "
+    assert langid.excerpt(b"few words") == b"few words" and langid.excerpt(b"x" * 9000) == b"x" * langid.EXCERPT
+    texts = [b"a" * 2000] * 100 + [b"b" * 10] * 100
+    got = langid._shared_out(texts)
+    assert len(got) <= langid.DICT_BYTES and len(got) > langid.DICT_BYTES - 300 and got.split(b" ")[100:] == [b"b" * 10] * 100
+    assert {len(x) for x in got.split(b" ")[:100]} <= {643, 644}
+    rows = [(None, f"ein kurzer text mit {chr(97 + i % 26) * (1 + i // 26)}", "de") for i in range(30)] + [(1, "a short text", "en")] * 3 + [(2, "12", "xx")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(model) == ["de", "en"] and model["en"] == b"a short text" and model["de"].count(b"ein kurzer") == 30
+
+
+def test_rows_without_an_id_are_learned_from(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,), (3,), (4,), (5,)], "doc_id long").select("doc_id", queries._held_out().alias("h")).collect()
+    assert {r.doc_id: r.h for r in rows} == {None: False} | {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(1, 6)}

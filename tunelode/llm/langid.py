@@ -1,7 +1,8 @@
 """Language by compression: a text's language is the one whose dictionary compresses it best.
 
-A language's dictionary is raw content: excerpts of DICT_BYTES bytes in all from documents of that language, chosen by
-a hash of their id (about SAMPLE_DOCS of them, a fixed bound).  A text keeps its letters only, lower-cased, is cut
+A language's dictionary is raw content: DICT_BYTES bytes, in equal parts from about 2 * SAMPLE_DOCS documents of that
+language (a fixed bound), chosen by a hash of id and text.  A part is an excerpt of at most EXCERPT bytes that starts at
+a place hashed from its text.  A text keeps its letters only, lower-cased, is cut
 into pieces of PIECE bytes and each piece is compressed by zstandard with each dictionary; the language with the
 smallest sum wins, ties going to the smaller code.  A margin below min_margin of the runner-up's size is a rejection.
 """
@@ -9,6 +10,7 @@ smallest sum wins, ties going to the smaller code.  A margin below min_margin of
 from __future__ import annotations
 
 import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +31,28 @@ def letters(text: str | None) -> bytes:
     return b" ".join(encoded(text.lower() if text else None).translate(_LETTERS).split())
 
 
+def excerpt(data: bytes) -> bytes:
+    """EXCERPT bytes from the first word after a place hashed from the data, or all of shorter data."""
+    room = len(data) - EXCERPT
+    if room <= 0:
+        return data
+    at = zlib.crc32(data) % (room + 1)
+    space = data.find(b" ", at, room) if at else -1  # no later than a whole excerpt fits
+    return data[space + 1 if space >= 0 else at :][:EXCERPT]
+
+
 def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cut = [letters(t)[:EXCERPT] for t in batch.column(2).to_pylist()]
+        cut = [excerpt(letters(t)) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, type=pa.binary())], names=["lang", "h", "part"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Each language's dictionary, from rows that have a text and a language."""
+    """Each language's dictionary, from rows that have a text and a language.
+
+    Rows equal in id and text count once; a language whose letters come to fewer than 8 bytes has no dictionary and is
+    never predicted; no rows give an empty model; more than MAX_LANGS languages are an error.
+    """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
     if len(rows) > MAX_LANGS:
@@ -44,18 +60,28 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not rows:
         return {}
     rate = F.create_map(*[x for r in rows for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * SAMPLE_DOCS / r["n"])))])
-    h = F.xxhash64(F.col(id_col), F.lit(7))
+    h = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7))
     drawn = known.where(F.pmod(h, F.lit(1_000_000)) < 1_000_000 * rate[F.col(lang_col)])
     parts: dict[str, list[tuple[int, bytes]]] = {}
-    for r in drawn.select(F.col(lang_col), h, text_col).mapInArrow(_excerpts, "lang string, h long, part binary").collect():
+    cut = drawn.select(F.col(lang_col), h, text_col).mapInArrow(_excerpts, "lang string, h long, part binary")
+    for r in cut.distinct().collect():
         parts.setdefault(r.lang, []).append((r.h, bytes(r.part)))
     out = {}
     for lang in sorted(parts):
         texts = list(dict.fromkeys(p for _, p in sorted(parts[lang]) if p))  # a copy adds nothing
-        out[lang] = b" ".join(texts)[:DICT_BYTES]
+        out[lang] = _shared_out(texts)
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 
+def _shared_out(texts: list[bytes]) -> bytes:
+    """DICT_BYTES dealt evenly to texts, in their order; what shorter ones leave goes to the others."""
+    room, share = DICT_BYTES, {}
+    for k, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        share[i] = min(len(texts[i]) + 1, room // (len(texts) - k))
+        room -= share[i]
+    return b" ".join(t[: max(0, share[i] - 1)] for i, t in enumerate(texts))
+
+
 @functools.cache
 def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)

@@ -84,8 +84,8 @@ def op1_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out() -> Column:
-    """Rows whose labels and languages are never learned from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    """Rows whose labels and languages are never learned from; a null id isn't one of them."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def op3_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
