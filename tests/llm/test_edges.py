@@ -50,7 +50,7 @@ def test_a_small_source_leaves_other_sources_blocks_alone(spark):
     taken = []
     for small in ([], [(900, "one two three", "c")]):
         docs = spark.createDataFrame(big + small, "doc_id long, text string, source string")
-        rows = mixing.mix(docs, weights=(1, 5, 1), ranges=True).where("source = 'a'").collect()
+        rows = mixing.mix(docs, weights=(1, 5, 1), share=1.0, ranges=True).where("source = 'a'").collect()
         ends = sum(r.taken for r in rows)
         assert abs(ends - rows[0].target) <= 32
         once = [x.to - x["from"] for r in rows for x in r.ranges]
