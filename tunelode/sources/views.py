@@ -44,7 +44,7 @@ FROM part""",
     "v_user_tracks": "SELECT DISTINCT o_custkey AS user_id, l_partkey AS track_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "v_manifest": """
 SELECT user_id AS track_id, CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'signup' THEN 'ok' WHEN 'error' THEN 'download_failed' ELSE 'no_preview' END AS status,
-  event_id AS line_no, cast(value * 1000 AS bigint) AS bytes FROM events""",
+  event_id AS line_no, cast(rint(value * 1000) AS bigint) AS bytes FROM events""",
     "v_links": "SELECT CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS user_id, track_id FROM v_user_tracks",
 }
 NEEDS = {"v_links": ("v_user_tracks",)}
@@ -73,7 +73,8 @@ def sql(views: str, body: str) -> str:
 
 
 def duck(views: str, body: str) -> str:
-    """The DuckDB form of sql(): its numbers have no D suffix."""
+    """The DuckDB form of sql(): its numbers have no D suffix, and its casts round halves to even, for which Spark needs rint."""
     import re
 
-    return re.sub(r"\b(\d+\.\d+)D\b", r"\1::DOUBLE", sql(views, body) if views else body)
+    text = re.sub(r"\b(\d+\.\d+)D\b", r"\1::DOUBLE", sql(views, body) if views else body)
+    return re.sub(r"\brint\((.*?)\)", r"\1", text)
