@@ -1,13 +1,15 @@
 """Nearest neighbours by an inverted file of coarse centroids with product-quantised residuals.
 
-Fitting (on the driver, from a bounded sample): coarse centroids, one codebook for each slice of the residuals, and
-the number of lists to probe, chosen so that sampled queries find `target` of their true neighbours in the sample.
-Indexing: every vector becomes its list, its id and its code; vectors themselves don't travel with them.
+Fitting (on the driver, from a bounded sample): coarse centroids, and one codebook for each slice of the residuals.
+The number of lists to probe is then measured: up to MEASURED of the queries themselves are compared with all vectors, by
+tasks, and so many lists are probed that `target` of their true neighbours lie in them.
+Indexing: every vector becomes its list, its code, how far the code is from it, and the vector's bytes.
 Searching: every query goes to the lists that it probes.  A list is cut into cells of about CELL_ROWS codes and
 QUERY_ROWS queries by counted numbers of parts, so a hot list is many cells, and codes and queries meet by list and
-part.  In a cell, asymmetric distance tables score the codes, and the best few a query leave it.  The best `rerank` of
-a query's lists are joined with their vectors and ranked by exact cosine.  What is shuffled grows with the vectors and
-with queries x probes.
+part.  In a cell, asymmetric distance tables score the codes; a code's distance from its vector bounds the vector's
+cosine on both sides, so what can't be among the best k of the cell goes, and only that: near copies whose codes are equal
+all stay.  Exact cosines of the rest give a cell's best k a query.  So what is missed lies in lists that aren't probed.  What
+is shuffled grows with the vectors and with queries x probes.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from ..session import discard, keep
 
 #: Vectors that the index is fitted on, at most; there is a list for PER_LIST of them, at most.
 SAMPLE_ROWS, PER_LIST = 16_384, 16
-#: Codes and queries of a cell, about; queries that are scored at once; and what a cell gives a query, in units of k.
-CELL_ROWS, QUERY_ROWS, AT_ONCE, CELL_BEST = 8_192, 2_048, 256, 4
+#: Codes and queries of a cell, about (fewer codes of vectors longer than 256); queries that are scored at once; components
+#: that are compared at once; and queries that are compared with all vectors, at most, to tell how many lists to probe.
+CELL_ROWS, QUERY_ROWS, AT_ONCE, COMPARED, MEASURED = 8_192, 2_048, 256, 2_097_152, 256
 
 
 @dataclass
@@ -39,14 +42,20 @@ class Index:
         half = (self.centroids**2).sum(1) / 2
         return np.concatenate([(half - x[i : i + 2048] @ self.centroids.T).argmin(1) for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0, np.int64)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(list, code) of each row."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(list, code, distance of what list and code stand for) of each row."""
         at = self.lists(x)
         rest = x - self.centroids[at]
         codes = np.empty((len(x), len(self.books)), dtype=np.uint8)
+        off = np.zeros(len(x), dtype=np.float32)
         for j, (book, part) in enumerate(zip(self.books, self._slices(rest), strict=True)):
             codes[:, j] = ((book**2).sum(1) - 2 * part @ book.T).argmin(1)
-        return at, codes
+            off += ((part - book[codes[:, j]]) ** 2).sum(1)
+        return at, codes, np.sqrt(off)
+
+    def order(self, unit: np.ndarray) -> np.ndarray:
+        """All lists, nearest first, for each row."""
+        return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")
 
     def _slices(self, x: np.ndarray) -> list[np.ndarray]:
         width = self.books.shape[2]
@@ -71,8 +80,8 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return c
 
 
-def fit(sample: np.ndarray, n_rows: int, k: int = 5, width: int = 2, target: float = 0.985, seed: int = 3) -> Index:
-    """An index for n_rows unit vectors, from a sample of them."""
+def fit(sample: np.ndarray, n_rows: int, width: int = 2, seed: int = 3) -> Index:
+    """An index for n_rows unit vectors, from a sample of them; it probes all lists until it is told how many."""
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float32)
     lists = int(max(1, min(len(x) // PER_LIST, np.sqrt(n_rows))))
@@ -81,113 +90,167 @@ def fit(sample: np.ndarray, n_rows: int, k: int = 5, width: int = 2, target: flo
     slices = -(-x.shape[1] // width)
     index.books = np.zeros((slices, 1, width), np.float32)
     index.books = np.stack([_kmeans(np.ascontiguousarray(p), min(256, len(x)), 6, rng) for p in index._slices(rest)])
-    pick = rng.choice(len(x), min(400, len(x)), replace=False)
-    score = x[pick] @ x.T
-    score[np.arange(len(pick)), pick] = -9
-    near = np.argsort(-score, axis=1)[:, :k]
-    by_list = np.argsort(-(x[pick] @ index.centroids.T), axis=1)
-    rank = np.empty_like(by_list)
-    np.put_along_axis(rank, by_list, np.arange(lists)[None], 1)
-    need = np.sort(np.take_along_axis(rank, index.lists(x)[near], 1).ravel())
-    index.probes = int(need[min(len(need) - 1, int(target * len(need)))]) + 1 if len(x) > 1 else lists
     return index
 
 
-_CODE_SQL = "list int, vec_id long, code binary"
-_PROBE_SQL = "list int, query_id long, unit binary"
-_NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("approx", pa.float32())])
+_CODE_SQL = "list int, vec_id long, code binary, off float, v binary"
+_PROBE_SQL = "list int, query_id long, vector binary"
+_NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _matrix(batch: pa.RecordBatch, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
-    v = batch.column(vectors)
-    return batch.column(ids).to_numpy(), _scaled(v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+def _raw(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
 
 
 def _scaled(v: np.ndarray) -> np.ndarray:
     """Each row times a power of two that brings its largest component near 1: cosines stay, no square over- or underflows."""
+    v = v.astype(np.float64)
     return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, initial=0))[1][:, None])
 
 
+def _norm(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(1))
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
-    return (v / np.sqrt((v * v).sum(1))[:, None]).astype(np.float32)
+    return (v / _norm(v)[:, None]).astype(np.float32)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in rows], type=pa.binary())
 
 
+def _held(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The rows that _binary has packed."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), -1)
+
+
 def _coder(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                ids, v = _matrix(batch, "vec_id", "v")
-                at, codes = index.encode(_unit(v))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(ids), _binary(codes)], names=["list", "vec_id", "code"])
+                v = _raw(batch)
+                at, codes, off = index.encode(_unit(_scaled(v)))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column("vec_id"), _binary(codes), pa.array(off), _binary(v)], names=["list", "vec_id", "code", "off", "v"])
 
     return run
 
 
-def _prober(index: Index) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every query once for each list that it probes."""
+def _prober(index: Index, sizes: np.ndarray, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every query once for each list that it probes: index.probes, or more until they hold `least` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, AT_ONCE):
-                ids, v = _matrix(batch.slice(lo, AT_ONCE), "vec_id", "v")
-                unit = _unit(v)
-                lists = np.argsort(-(unit @ index.centroids.T), axis=1, kind="stable")[:, : index.probes]
-                columns = [pa.array(lists.ravel().astype(np.int32)), pa.array(np.repeat(ids, lists.shape[1])), _binary(np.repeat(unit, lists.shape[1], axis=0))]
-                yield pa.RecordBatch.from_arrays(columns, names=["list", "query_id", "unit"])
+                some = batch.slice(lo, AT_ONCE)
+                v = _raw(some)
+                lists = index.order(_unit(_scaled(v)))
+                before = np.cumsum(sizes[lists], axis=1) - sizes[lists]
+                row, col = np.nonzero((np.arange(lists.shape[1]) < index.probes) | (before < least))
+                columns = [pa.array(lists[row, col].astype(np.int32)), pa.array(some.column("vec_id").to_numpy()[row]), _binary(v[row])]
+                yield pa.RecordBatch.from_arrays(columns, names=["list", "query_id", "vector"])
+
+    return run
+
+
+def _least_of_best(score: np.ndarray, n: int) -> np.ndarray:
+    """The n-th greatest score of each row; -inf where there are fewer."""
+    return np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n] if score.shape[1] >= n else np.full(len(score), -np.inf)
+
+
+def _nearest(index: Index, asked: np.ndarray, v: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k nearest of all the task's rows for each of some queries, and at which place of the query's lists each lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = _scaled(v)
+        unit = q / _norm(q)[:, None]
+        place = np.argsort(index.order(_unit(q)), axis=1)
+        best, at = np.full((len(asked), k), -np.inf), np.zeros((len(asked), k), dtype=np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                some = batch.slice(lo, 1024)
+                x, ids = _scaled(_raw(some)), some.column("vec_id").to_numpy()
+                x /= _norm(x)[:, None]
+                score = np.where(asked[:, None] == ids, -np.inf, unit @ x.T)
+                both = np.concatenate([best, score], axis=1)
+                lists = np.concatenate([at, np.take_along_axis(place, np.broadcast_to(index.lists(x.astype(np.float32)), score.shape), 1)], axis=1)
+                top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                best, at = np.take_along_axis(both, top, 1), np.take_along_axis(lists, top, 1)
+        row, col = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(at[row, col]), pa.array(best[row, col])], names=["row", "place", "score"])
 
     return run
 
 
-def _best(approx: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the n best; equal ones count from the left."""
-    if len(approx) <= n:
-        return np.arange(len(approx))
-    least = np.partition(approx, len(approx) - n)[len(approx) - n]
-    over = np.flatnonzero(approx > least)
-    return np.r_[over, np.flatnonzero(approx == least)[: n - len(over)]]
+def probes_for(rows: DataFrame, is_query: str, index: Index, k: int, target: float) -> int:
+    """How many lists hold `target` of the true neighbours of up to MEASURED queries, drawn by a hash, among all rows."""
+    some = rows.where(is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(MEASURED).toArrow().combine_chunks()
+    if not some.num_rows:
+        return 1
+    v = some.column("v").combine_chunks().flatten().to_numpy().reshape(some.num_rows, -1)
+    met = rows.mapInArrow(_nearest(index, some.column("vec_id").to_numpy(), v, k), "row long, place long, score double")
+    nearest = met.withColumn("n", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "place"))).where(F.col("n") <= k)
+    need = np.sort(nearest.select("place").toArrow().column("place").to_numpy())  # k a query
+    return int(need[min(len(need) - 1, int(target * len(need)))]) + 1 if len(need) else 1
 
 
-def _cell(index: Index, best: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The `best` codes of a cell for each of its queries."""
+def _without_copies(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Positions of rows, by id, without all but the k + 1 least ids of equal vectors: no query has use for more."""
+    same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * v.itemsize))).ravel(), return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, same))
+    new = np.r_[True, (same[order][1:] != same[order][:-1]) | (ids[order][1:] != ids[order][:-1])]
+    order = order[new]
+    first = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    order = order[nth <= k]
+    return order[np.argsort(ids[order], kind="stable")]
+
+
+def _cell(index: Index, k: int, kind: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best vectors of a cell for each of its queries, by exact cosine; ties go to the smaller id."""
 
     def run(coded: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if coded.num_rows and asked.num_rows:
-            ids = coded.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            codes = np.frombuffer(b"".join(coded.column("code").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
+            ids, v = coded.column("vec_id").to_numpy(), _held(coded.column("v"), kind)
+            order = _without_copies(ids, v, k)
+            ids, v = ids[order], _scaled(v[order])
+            norm = _norm(v)
+            codes = _held(coded.column("code"), "u1")[order]
+            # what float32 sums may be off comes on top
+            off = coded.column("off").to_numpy()[order] * np.float32(1.001) + np.float32(1e-6 * (16 + codes.shape[1]))
             centre = index.centroids[coded.column("list")[0].as_py()]
+            most = k * int(np.unique(ids, return_counts=True)[1].max())  # rows of one id count once
             for lo in range(0, asked.num_rows, AT_ONCE):
                 part = asked.slice(lo, AT_ONCE)
-                unit = np.frombuffer(b"".join(part.column("unit").to_pylist()), dtype=np.float32).reshape(part.num_rows, -1)
+                own, q = part.column("query_id").to_numpy(), _scaled(_held(part.column("vector"), kind))
+                unit, q_norm = _unit(q), _norm(q)
                 tables = np.ascontiguousarray(index.tables(unit).transpose(1, 2, 0))  # slice x code x query
                 score = np.repeat((unit @ centre)[None], len(ids), axis=0)
                 for j in range(codes.shape[1]):
                     score += tables[j][codes[:, j]]
-                for i, q in enumerate(part.column("query_id").to_numpy()):
-                    mine = np.where(ids == q, np.float32(-np.inf), score[:, i])
-                    rows = _best(mine, best)
-                    rows = rows[mine[rows] > -np.inf]
-                    out.append((np.full(len(rows), q), ids[rows], mine[rows]))
+                score = np.ascontiguousarray(score.T)
+                score[own[:, None] == ids] = -np.inf
+                maybe = (score + off >= _least_of_best(score - off, most)[:, None]) & (score > -np.inf)
+                some = np.flatnonzero(maybe.any(0))
+                close = np.where(maybe[:, some], (q / q_norm[:, None]) @ (v[some] / norm[some, None]).T, -np.inf)
+                a, b = np.nonzero((close >= _least_of_best(close, most)[:, None] - 1e-11) & (close > -np.inf))
+                b, step = some[b], max(1, COMPARED // v.shape[1])
+                exact = np.concatenate([(v[b[i : i + step]] * q[a[i : i + step]]).sum(1) / (norm[b[i : i + step]] * q_norm[a[i : i + step]]) for i in range(0, max(len(a), 1), step)])
+                by = np.lexsort((ids[b], -exact, a))
+                a, b, exact = a[by], ids[b][by], exact[by]
+                if most > k:  # the best of rows that share an id
+                    _, at = np.unique(np.stack([a, b]), axis=1, return_index=True)
+                    at.sort()
+                    a, b, exact = a[at], b[at], exact[at]
+                first = np.searchsorted(a, a)
+                top = np.arange(len(a)) - first < k
+                out.append((own[a[top]], b[top], exact[top]))
         return pa.Table.from_arrays([pa.array(np.concatenate([o[c] for o in out]) if out else [], type=f.type) for c, f in enumerate(_NEAR)], schema=_NEAR)
 
     return run
 
 
-def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (query_id, q, vec_id, v) to their exact cosines."""
-    for batch in batches:
-        if batch.num_rows:
-            (query_id, q), (vec_id, v) = _matrix(batch, "query_id", "q"), _matrix(batch, "vec_id", "v")
-            score = (v * q).sum(1) / (np.sqrt((v * v).sum(1)) * np.sqrt((q * q).sum(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(query_id), pa.array(vec_id), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-
 def _dealt(rows: DataFrame, parts: DataFrame, mine: str, others: str, *salt: str) -> DataFrame:
     """rows in one part of their list, chosen by a hash, and copied to each part of the other side."""
     own = F.pmod(F.xxhash64(*salt), F.col(mine)).cast("int")
@@ -196,7 +259,7 @@ def _dealt(rows: DataFrame, parts: DataFrame, mine: str, others: str, *salt: str
 
 
 def search(
-    vectors: DataFrame, is_query: str, k: int = 5, rerank: int = 80, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, is_query: str, k: int = 5, target: float = 0.985, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found by cosine of each row for which is_query, SQL over vec_id,
     holds, among all other rows; ties go to the smaller id.
@@ -208,7 +271,8 @@ def search(
     spark = vectors.sparkSession
     usable = F.size("v") > 0
     usable &= ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    short = dict(vectors.dtypes)[vector_col] == "array<float>"  # vectors travel as they are, others as doubles
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if short else "array<double>").alias("v"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(usable, F.lit(False)))
     usual = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
     if not usual:
@@ -217,18 +281,19 @@ def search(
     rows = rows.where(F.size("v") == most)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()
     index = fit(_unit(_scaled(sample.column("v").combine_chunks().flatten().to_numpy().reshape(-1, most))), n)
-    codes = keep(rows.mapInArrow(_coder(index), _CODE_SQL).distinct(), "codes")
-    probes = keep(rows.where(is_query).mapInArrow(_prober(index), _PROBE_SQL), "probes")
+    index.probes = probes_for(rows, is_query, index, k, target)
+    codes = keep(rows.mapInArrow(_coder(index), _CODE_SQL).withColumn("nth", F.monotonically_increasing_id()), "codes")
+    sizes = np.zeros(len(index.centroids), dtype=np.int64)
+    for at, count in codes.groupBy("list").count().collect():  # a row a list
+        sizes[at] = count
+    probes = keep(rows.where(is_query).mapInArrow(_prober(index, sizes, 4 * k), _PROBE_SQL), "probes")
     in_parts = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    parts = keep(in_parts(codes, CELL_ROWS, "c").join(in_parts(probes, QUERY_ROWS, "q"), "list"), "parts")  # a row a list
+    size = max(512, min(CELL_ROWS, COMPARED // most))
+    parts = keep(in_parts(codes, size, "c").join(in_parts(probes, QUERY_ROWS, "q"), "list"), "parts")  # a row a list
     at = ("list", "c_no", "q_no")
-    cells = _dealt(codes, parts, "c", "q", "vec_id", "code").groupBy(*at).cogroup(_dealt(probes, parts, "q", "c", "query_id", "unit").groupBy(*at))
-    near = cells.applyInArrow(_cell(index, CELL_BEST * k), "query_id long, vec_id long, approx float")
-    by_approx = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
-    near = near.withColumn("place", F.dense_rank().over(by_approx)).where(F.col("place") <= rerank).select("query_id", "vec_id")
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    found = near.join(queries, "query_id").join(rows, "vec_id").select("query_id", "q", "vec_id", "v")
-    best = found.mapInArrow(_cosines, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    cells = _dealt(codes, parts, "c", "q", "nth").drop("nth").groupBy(*at).cogroup(_dealt(probes, parts, "q", "c", "query_id", "vector").groupBy(*at))
+    near = cells.applyInArrow(_cell(index, k, "f4" if short else "f8"), "query_id long, vec_id long, score double")
+    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     out = keep(best.select("query_id", "rank", "vec_id", "score"), "nearest")
