@@ -166,8 +166,11 @@ def _candidates(part: DataFrame) -> DataFrame:
 def _best(wanted: DataFrame, candidates: DataFrame, on: str) -> DataFrame:
     exact = (F.col("title") == F.col("w_title")) & (F.col("artist") == F.col("w_artist"))
     tier = F.when(exact, 1).when(F.contains("title", "w_title") & F.contains("artist", "w_artist"), 2).when(F.col("preview_url") != "", 3)
-    rows = wanted.join(candidates, on).withColumn("tier", tier).where("tier IS NOT NULL")
-    return library.first_of(rows, "wanted", F.col("tier"), F.col("pos")).select("wanted", "pos", "tier")
+    # lists meet by a shuffle and a track's pairs are folded as they come, under the join's own key: no task sorts or sends pairs
+    rows = wanted.join(candidates.hint("merge"), on).withColumn("tier", tier).where("tier IS NOT NULL")
+    firsts = rows.groupBy(*dict.fromkeys([on, "wanted"])).agg(*[F.min(F.when(F.col("tier") == t, F.col("pos"))).alias(f"_{t}") for t in (1, 2, 3)])
+    best = F.when(F.col("_1").isNotNull(), 1).when(F.col("_2").isNotNull(), 2).otherwise(3)
+    return firsts.select("wanted", F.coalesce("_1", "_2", "_3").alias("pos"), best.alias("tier"))
 
 
 _HELD = """w AS (SELECT p_partkey AS wanted, lower(split_part(p_name, ' ', 2)) AS title, lower(p_brand) AS artist FROM part),
