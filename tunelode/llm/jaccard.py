@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from ..session import discard, keep
-from .words import encoded, give_back
+from .words import SPACES, encoded, give_back
 
 #: Rows of at most 32 bytes that are sent to every executor at once, at most (8 MB); above it the texts are joined by a shuffle.
 BROADCAST_ROWS = 250_000
@@ -44,12 +44,17 @@ BLOCK, CARRIED, LOWEST = 512, 256, 16
 #: Of the sample that tells common shingles.
 SAMPLE_DOCS, COMMON_IN, MOST_COMMON = 6_000, 4, 200_000
 
-#: Words whose hashes a task keeps, at most.
-WORDS = 60_000
+#: Bytes of a text that are hashed at once, about, and of a word that has a weight of its own at each place; longer words are
+#: hashed whole.
+AT_ONCE, PLACES = 262_144, 4_096
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
-_word_hash: dict[bytes, int] = {}
+_draw = np.random.default_rng(5)
+_IS_SPACE = np.isin(np.arange(256), list(SPACES))
+_BYTE, _PLACE = _draw.integers(1, 1 << 64, 256, dtype=_U), _draw.integers(0, 1 << 64, PLACES, dtype=_U) | _U(1)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_BYTE[_IS_SPACE] = 0
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,30 +64,50 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def _released() -> None:
-    """Give a task's memory back."""
-    _word_hash.clear()
-    give_back()
+def _word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word, A-Z like a-z: the sum of its bytes' numbers times their places' weights."""
+    b = np.frombuffer(data, dtype=np.uint8)
+    inside = np.zeros(len(b) + 2, dtype=np.int8)
+    np.logical_not(_IS_SPACE[b], out=inside[1:-1].view(bool))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), dtype=_U)
+    whole = np.flatnonzero(ends - starts > PLACES)
+    for i in whole:
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].lower())
+    done = 0
+    for stop in [*whole.tolist(), len(starts)]:
+        while done < stop:
+            upto = min(stop, max(done + 1, int(np.searchsorted(starts, starts[done] + AT_ONCE))))
+            s, end = starts[done:upto] - starts[done], ends[upto - 1] - starts[done]
+            # a word's places go on over the spaces after it, which count nothing
+            at = np.arange(end) - np.repeat(s, _lengths(s, end))
+            out[done:upto] = np.add.reduceat(_BYTE[b[starts[done] :][:end]] * _PLACE[np.minimum(at, PLACES - 1)], s)
+            done = upto
+        done = stop + 1
+    return out
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    if len(_word_hash) > WORDS:
-        _word_hash.clear()
-    try:
-        got = list(map(_word_hash.__getitem__, words))
-    except KeyError:
-        for w in set(words).difference(_word_hash):
-            _word_hash[w] = xxhash.xxh3_64_intdigest(w)
-        got = list(map(_word_hash.__getitem__, words))
-    return np.array(got, dtype=_U)
+def _first(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
+
+
+def _lengths(start: np.ndarray, end: int) -> np.ndarray:
+    """How far it is from each start to the next, and from the last to the end."""
+    out = np.empty(len(start), dtype=np.int64)
+    np.subtract(start[1:], start[:-1], out=out[:-1])
+    out[-1] = end - start[-1]
+    return out
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct k-word shingles; fewer than k words are one shingle, none are none."""
-    words = encoded(text).lower().split()
-    if not words:
+    w = _word_hashes(encoded(text))
+    if not len(w):
         return np.empty(0, dtype=_U)
-    w = _hashes(words)
     with np.errstate(over="ignore"):
         if len(w) < k:
             h = _U(len(w))
@@ -93,7 +118,8 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
         h = np.zeros(n, dtype=_U)
         for i in range(k):
             h = h * _P + w[i : i + n]
-        return np.unique(_mix(h))
+        h = np.sort(_mix(h))
+        return h[_first(h)]
 
 
 def _among(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -102,19 +128,18 @@ def _among(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
 
 
-def _band_keys(s: np.ndarray, band: int, need: int, common: np.ndarray) -> np.ndarray:
+def _band_keys(s: np.ndarray, mixed: np.ndarray, band: int, need: int, usual: np.ndarray) -> np.ndarray:
     """Keys of the first `need` segments of a set, in one order of all segments with their contents: those with many
-    shingles first, those of nothing but `common` shingles (sorted) after them, empty ones last."""
+    shingles first, those of nothing but `usual` shingles after them, empty ones last."""
     m = max(16, 3 << band)
     seg = ((s >> _U(32)) * _U(m)) >> _U(32)  # rises with s, which is sorted
-    start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-    fp = np.bitwise_xor.reduceat(_mix(s), start)
-    count = np.diff(np.r_[start, len(s)])
+    start = np.flatnonzero(_first(seg))
+    fp = np.bitwise_xor.reduceat(mixed, start)
     at = seg[start]
     salt = _U(m) * _U(1 << 32)
     keys = _mix(fp ^ _mix(at + salt))
     if len(start) > need:
-        usual = np.logical_and.reduceat(_among(s, common), start)
+        usual, count = np.logical_and.reduceat(usual, start), _lengths(start, len(s))
         return keys[np.lexsort((keys, -count, usual))[:need]]
     if len(start) < need:  # segments without a shingle come last
         empty = np.setdiff1d(np.arange(m, dtype=_U), at)[: need - len(start)]
@@ -133,9 +158,10 @@ def segment_keys(s: np.ndarray, common: np.ndarray = _NONE) -> np.ndarray:
     band, most = n.bit_length() - 1, n * 5 // 4
     top = 1 << (band + 1)
     with np.errstate(over="ignore"):
-        keys = [_band_keys(s, band, (n + min(most, top - 1)) // 9 + 1, common)]
+        mixed, usual = _mix(s), _among(s, common)
+        keys = [_band_keys(s, mixed, band, (n + min(most, top - 1)) // 9 + 1, usual)]
         if most >= top:
-            keys.append(_band_keys(s, band + 1, (n + most) // 9 + 1, common))
+            keys.append(_band_keys(s, mixed, band + 1, (n + most) // 9 + 1, usual))
     return np.concatenate(keys).view(np.int64)
 
 
@@ -188,7 +214,7 @@ def _sketched(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     rows, size = [], 0
             if rows:
                 yield _to_batch(rows)
-        _released()
+        give_back()
 
     return run
 
@@ -204,7 +230,7 @@ def _sample_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             s = shingle_set(text)
             if len(s):
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), _digest(s)[0]))], names=["key", "d"])
-    _released()
+    give_back()
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -297,7 +323,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((node, len(s), sketch, _folded(sketch, CARRIED // 8).tobytes(), s.view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _SET, strict=True)], schema=_SET)
-    _released()
+    give_back()
 
 
 def _sent(rows: DataFrame) -> DataFrame:
