@@ -69,6 +69,13 @@ def dedup_key(spotify: str = "spotify_id", apple: str = "apple_id", isrc: str =
     return F.coalesce(tag("s:", spotify), tag("a:", apple), tag("i:", isrc), F.concat(F.lit("t:"), F.concat_ws("|", low(title), low(artist), low(album))))
 
 
+def item_keys(kinds: tuple[str, ...] = ("apple_id", "spotify_id", "isrc")) -> list[Column]:
+    """Texts of which two records of one item have one in common: a key a kind, and where all are empty the dedup key, which
+    else holds one of them."""
+    ks = [F.concat(F.lit(f"{c}:"), filled(F.col(c)).cast("string")) for c in kinds]
+    return [*ks, F.when(F.coalesce(*ks).isNull(), F.concat(F.lit("dedup:"), dedup_key()))]
+
+
 def preview_source(url: Column) -> Column:
     """Provenance by a preview address."""
     u = F.lower(url)

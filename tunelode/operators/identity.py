@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import dedup_key, epoch, filled, source_rank
-from .components import connected_components
+from ..functions.text import dedup_key, epoch, filled, item_keys, source_rank
+from ..session import keep
+from .components import connected_components, firsts, links, near
 
 
 def shared_key_edges(tracks: DataFrame, keys: tuple[str, ...] = ("apple_id", "spotify_id", "isrc"), id_col: str = "id") -> DataFrame:
@@ -24,8 +25,12 @@ def shared_key_edges(tracks: DataFrame, keys: tuple[str, ...] = ("apple_id", "sp
 
 def groups(tracks: DataFrame, id_col: str = "id") -> DataFrame:
     """tracks with group_id, the least id of the records that are the same item."""
-    found = connected_components(shared_key_edges(tracks, id_col=id_col)).select(F.col("node").alias("_node"), "component")
-    return tracks.join(found, F.col(id_col) == F.col("_node"), "left").withColumn("group_id", F.coalesce("component", id_col)).drop("_node", "component")
+    # an id that several rows have is a key as well
+    keys = dict(enumerate([*item_keys(), F.concat(F.lit("id:"), F.col(id_col).cast("string"))]))
+    rows, names = tracks.withColumns({f"_key{i}": k for i, k in keys.items()}), [f"_key{i}" for i in keys]
+    rows = near(rows, names, keep(firsts(rows, names, id_col).where("n > 1"), "firsts"), id_col)
+    found = connected_components(links(rows)).select(F.col("node").alias("_node"), "component")
+    return rows.join(found, F.col("_first") == F.col("_node"), "left").withColumn("group_id", F.coalesce("component", "_first")).select(*tracks.columns, "group_id")
 
 
 def _order() -> list:

@@ -9,8 +9,9 @@ A store holds, with the buckets that a batch doesn't touch left as they are:
     links     component, user -> the first record's stamp, and how many records asked for the link
     paths     component, audio path -> records that have it
 
-A batch's records are joined to the components that share a key with them.  Old components are single nodes in that graph, so
-components are searched among the batch's nodes only.  All states combine by minima and sums, so no old record is read.
+A batch's records are joined to the components that share a key with them.  In that graph a key is its least record in the
+batch, an old component is one node, and records only link the nodes of their keys, so its size is that of the keys which are
+shared, however many records share them.  All states combine by minima and sums, so no old record is read.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import dedup_key, epoch, filled, source_rank
+from ..functions.text import epoch, item_keys, source_rank
 from ..session import discard, keep
 from ..sources.store import Change, Store
-from .components import connected_components
+from .components import connected_components, firsts, links, near
 
 PLACE = "struct<rank:int,age:bigint,id:bigint>"
-_KINDS = ("apple_id", "spotify_id", "isrc")
 
 
 def create(store: Store, columns: list[str], types: dict[str, str], buckets: int = 16) -> int:
@@ -43,17 +43,11 @@ def create(store: Store, columns: list[str], types: dict[str, str], buckets: int
 
     def make(change: Change) -> None:
         for name, (schema, key) in tables.items():
-            change.create(name, store.spark.createDataFrame([], schema), key, buckets)
+            change.create(name, schema, key, buckets)
 
     return store.apply(make)
 
 
-def _keyed(records: DataFrame) -> DataFrame:
-    """(id, k) for every key that a record shares with equal ones."""
-    ks = [F.concat(F.lit(f"{c}:"), filled(F.col(c)).cast("string")) for c in _KINDS] + [F.concat(F.lit("dedup:"), dedup_key())]
-    return records.select("id", F.explode(F.array_compact(F.array(*ks))).alias("k"))
-
-
 def _current(found: DataFrame, labels: DataFrame) -> DataFrame:
     """found with its column `component` as it is labelled now."""
     now = labels.select(F.col("component").alias("_c"), "label")
@@ -70,34 +64,49 @@ def add(store: Store, records: DataFrame, columns: list[str]) -> int:
 
 def _add(change: Change, records: DataFrame, columns: list[str]) -> None:
     spark = change.spark
-    batch = records.where("id IS NOT NULL").dropDuplicates(["id"])
-    buckets = change.touched("members", batch)
-    batch = keep(batch.join(change.read("members", buckets).select("id"), "id", "left_anti"), "records")
-    keyed = keep(_keyed(batch), "keyed")
+    ks = {f"_key{i}": k for i, k in enumerate(item_keys())}
+    needed = dict.fromkeys(["id", "user_id", *columns, "audio_path", "classification_source", "created_at"])
+    rows = keep(records.where("id IS NOT NULL").select(*needed, *[k.alias(c) for c, k in ks.items()]), "records")
+    # ids that come again, from before or in this batch, are told by ids alone
+    come = change.read("members", change.touched("members", rows)).select("id", F.lit(True).alias("come"))
+    ids = rows.select("id", F.lit(False).alias("come")).unionByName(come)
+    again = keep(ids.groupBy("id").agg(F.count_if(~F.col("come")).alias("n"), F.bool_or("come").alias("come")).where("n > 1 OR n = 1 AND come"), "again")
+    twice = keep(rows.join(again.where("NOT come"), "id", "left_semi").dropDuplicates(["id"]), "twice")
+    batch = rows.join(again, "id", "left_anti").unionByName(twice)
+    held = keep(firsts(batch, list(ks)), "firsts")
     labels = change.read("labels")
-    known = change.read("keys", change.touched("keys", keyed))
-    old = keep(_current(keyed.join(known, "k").select("id", "component"), labels).distinct(), "old")
-    # the batch's records, and the old components that they meet, as one graph
-    least = keyed.groupBy("k").agg(F.min("id").alias("a"))
-    inside = keyed.join(least, "k").where("a < id").select("a", F.col("id").alias("b"))
-    found = connected_components(old.select(F.col("component").alias("a"), F.col("id").alias("b")).union(inside))
-    nodes = batch.select(F.col("id").alias("node")).union(old.select(F.col("component").alias("node"))).distinct()
-    label = keep(nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("label")), "label")
-
-    of_record = batch.join(label.withColumnRenamed("node", "id"), "id")
-    change.upsert("members", of_record.select("id", F.col("label").alias("component")))
-    new_keys = keyed.join(label, F.col("id") == F.col("node")).groupBy("k").agg(F.min("label").alias("component"))
-    change.merge("keys", new_keys, lambda have, new: have.unionByName(new.join(have.select("k"), "k", "left_anti")))
-
-    became = label.where("node <> label")
-    moved = keep(became.join(old.select(F.col("component").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("component"), "label"), "moved")
-    again = labels.join(moved.select(F.col("component").alias("_c"), F.col("label").alias("_l")), F.col("label") == F.col("_c")).select("component", F.col("_l").alias("label"))
-    change.upsert("labels", moved.union(again))
-
-    touched = label.select(F.explode(F.array_distinct(F.array("node", "label"))).alias("component"), "label").distinct()
+    known = change.read("keys", change.touched("keys", held))
+    met = keep(_current(held.join(known, "k", "left"), labels), "met")
+    # least records of keys, and the old components that they meet, as one graph
+    linking = near(batch, list(ks), met.where("n > 1 OR component IS NOT NULL"))
+    old = met.where("component IS NOT NULL").select("component", "a").distinct()
+    found = connected_components(old.select(F.col("component").alias("a"), F.col("a").alias("b")).union(links(linking)))
+
+    labelled = lambda nodes, c: nodes.join(found, F.col(c) == F.col("node"), "left")
+    of_record = keep(labelled(linking, "_first").select(*needed, F.coalesce("component", "_first").alias("label")), "labelled")
+    of_old = labelled(old.select(F.col("component").alias("was")).distinct(), "was").select("was", F.coalesce("component", "was").alias("label"))
+    _put(change, "members", of_record.select("id", F.col("label").alias("component")), lambda have, new: have.unionByName(new))
+    # a record's own keys are no nodes, so a key is labelled by its record
+    new_keys = met.where("component IS NULL").select("k", "a").join(of_record.select("id", "label"), F.col("a") == F.col("id")).select("k", F.col("label").alias("component"))
+    change.merge("keys", new_keys, lambda have, new: have.unionByName(new))
+
+    moved = keep(of_old.where("was <> label").select(F.col("was").alias("component"), "label"), "moved")
+    further = labels.join(moved.select(F.col("component").alias("_c"), F.col("label").alias("_l")), F.col("label") == F.col("_c")).select("component", F.col("_l").alias("label"))
+    change.upsert("labels", moved.union(further))
+
+    # only components are stored, so of the batch its labels matter, not its records
+    into = of_record.select(F.col("label").alias("component"), "label").union(of_old.select("label", "label")).union(of_old.select("was", "label"))
+    touched = keep(into.distinct(), "touched")
     for table, fresh, by, sums in _states(of_record, columns):
-        change.merge(table, touched, _combined(fresh, by, sums))
-    discard(spark, batch, keyed, old, label, moved)
+        _put(change, table, touched, _combined(fresh, by, sums))
+    discard(spark, rows, again, twice, held, met, of_record, moved, touched)
+
+
+def _put(change: Change, table: str, batch: DataFrame, into: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """As Change.merge, for a batch that is read from a written table."""
+    buckets = change.touched(table, batch)
+    if buckets:
+        change.rewrite(table, buckets, into(change.read(table, buckets), batch))
 
 
 def _states(of_record: DataFrame, columns: list[str]) -> list[tuple[str, DataFrame, list[str], list[Column]]]:

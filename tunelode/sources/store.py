@@ -201,11 +201,16 @@ class Change:
         """A table as this change leaves it so far."""
         return self.store._rows(self.entry["tables"][table], buckets)
 
-    def create(self, table: str, rows: DataFrame, key: list[str], buckets: int = 16, track: tuple[str, ...] = ()) -> None:
-        """A table, new or whole anew, dealt into buckets by its key; `track` names the columns whose moments are kept."""
-        spec = {"key": key, "buckets": buckets, "track": list(track), "schema": json.loads(rows.schema.json()), "parts": {}}
+    def create(self, table: str, rows: DataFrame | str, key: list[str], buckets: int = 16, track: tuple[str, ...] = ()) -> None:
+        """A table, new or whole anew, dealt into buckets by its key; `track` names the columns whose moments are kept.
+
+        Columns (DDL) in place of rows make it empty.
+        """
+        schema = StructType.fromDDL(rows) if isinstance(rows, str) else rows.schema
+        spec = {"key": key, "buckets": buckets, "track": list(track), "schema": json.loads(schema.json()), "parts": {}}
         self.entry["tables"][table] = spec
-        self._write(spec, rows, None)
+        if not isinstance(rows, str):
+            self._write(spec, rows, None)
 
     def add_columns(self, table: str, columns: str) -> None:
         """Columns (DDL) that the table lacks, NULL in what is there; no row is written."""
